@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelis.llm.bpe import op9_bpe
 from fidelis.llm.common import table
+from fidelis.llm.langid import op5_language_id
+from fidelis.llm.ngram_join import op8_ngram_join
+from fidelis.llm.passages import op10_passages
+from fidelis.llm.toxicity import op2_toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +97,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op4_gif": op4_gif,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_bpe": op9_bpe,
+    "op10_passages": op10_passages,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL}
