@@ -1,4 +1,6 @@
 """Registered queries of the audit engine and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fidelis.plans import chat, trial
+
+QUERIES = {**trial.QUERIES, **chat.QUERIES}
+ORACLE_SQL = {**trial.ORACLE_SQL, **chat.ORACLE_SQL}
