@@ -137,8 +137,12 @@ def char_wb_ngrams(c: str | Column, low: int = 3, high: int = 5) -> Column:
     """All n-grams of words padded with a space on both sides, with repetitions."""
     words = F.filter(F.split(F.lower(col(c)), r"\s+"), lambda w: w != "")
 
+    def of(padded: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, every).otherwise(F.array().cast("array<string>"))
+
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.flatten(F.array(*[F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
+        return F.flatten(F.array(*[of(padded, n) for n in range(low, high + 1)]))
 
     return F.flatten(F.transform(words, grams))

@@ -206,7 +206,7 @@ ORACLE_SQL = {
     "turn_collisions": "WITH c AS (SELECT conv_id % 5 AS u, conv_id, turn, " + NORM.format("text") + " AS norm FROM conversations WHERE role = 'user'), h AS (SELECT DISTINCT x.u, x.conv_id FROM c x JOIN c y ON x.u = y.u AND x.norm = y.norm WHERE x.conv_id % 2 = 1 AND y.conv_id % 2 = 0) SELECT conv_id, turn FROM c WHERE conv_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.u = c.u AND h.conv_id = c.conv_id)",
     "page_type": "SELECT page_id, CASE WHEN contains(lower(url), '/s?') OR contains(lower(url), 'field-keywords') OR contains(lower(url), '/s/') THEN 'search results' WHEN contains(lower(url), '/dp/') OR contains(lower(url), '/gp/product') THEN 'product page' WHEN contains(lower(url), 'cart') THEN 'cart' WHEN ends_with(rtrim(lower(url), '/'), '.com') OR contains(lower(url), '/ref=nav') THEN 'home' ELSE 'other' END AS kind FROM pages",
     "turn_features": r"""WITH c AS (SELECT *, turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS terminal FROM conversations WHERE trim(text) <> '')
-SELECT conv_id, turn, contains(text, '```') OR len(list_filter(string_split_regex(text, '\r?\n'), x -> regexp_matches(x, '^\s*(def |class |import |from |function |const |let |var |#include|public |private |SELECT |select )') OR regexp_matches(x, '[{};]\s*$'))) >= 2 AS code, contains(text, '?') AS question, CAST(len(list_filter(string_split_regex(text, '[ \n]+'), x -> x <> '')) AS BIGINT) AS n_words, terminal FROM c WHERE role = 'user'""",
+SELECT conv_id, turn, contains(text, '```') OR len(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '^\s*(def |class |import |from |function |const |let |var |#include|public |private |SELECT |select )') OR regexp_matches(x, '[{};]\s*$'))) >= 2 AS code, contains(text, '?') AS question, CAST(len(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '')) AS BIGINT) AS n_words, terminal FROM c WHERE role = 'user'""",
     "first_n_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user' AND length(text) <= 400) AS t WHERE rn <= 2",
     "prefix_budget": "SELECT conv_id, turn FROM (SELECT *, sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS run FROM conversations) AS t WHERE run <= 120",
     "representative": "WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user' AND trim(text) <> ''), t AS (SELECT conv_id, substr(string_agg(text, chr(10) ORDER BY turn), 1, 6000) AS text FROM c WHERE rn <= 2 GROUP BY conv_id) SELECT conv_id, md5(text) AS digest, CAST(length(text) AS INT) AS n_chars FROM t",
@@ -217,8 +217,8 @@ cn AS (SELECT doc, gram, count(*) AS c FROM gr GROUP BY doc, gram), nd AS (SELEC
 w0 AS (SELECT doc, gram, (1 + ln(c)) * idf AS w FROM cn JOIN df USING (gram)), nm AS (SELECT doc, sqrt(sum(w * w)) AS nrm FROM w0 GROUP BY doc), w1 AS (SELECT doc, gram, w / nrm AS w FROM w0 JOIN nm USING (doc)),
 pr AS (SELECT min(doc) AS a, max(doc) AS b FROM two GROUP BY conv_id HAVING min(doc) < max(doc)), dt AS (SELECT pr.a, pr.b, sum(x.w * y.w) AS d FROM pr JOIN w1 x ON x.doc = pr.a JOIN w1 y ON y.doc = pr.b AND y.gram = x.gram GROUP BY pr.a, pr.b)
 SELECT pr.a, pr.b, round(coalesce(d, 0), 5) AS cosine FROM pr LEFT JOIN dt ON dt.a = pr.a AND dt.b = pr.b""",
-    "embedding_knn": "WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, 65), i -> power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rn FROM p) SELECT vec_id, CAST(rn AS INT) AS rank, neighbour, round(distance, 4) AS distance FROM r WHERE rn <= 3",
-    "precision_recall": "WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, sqrt(list_sum(list_transform(range(1, 65), i -> power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), rad AS (SELECT x, d AS r FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS rn FROM p WHERE x % 2 = y % 2) AS t WHERE rn = 3), cov AS (SELECT p.x, max(CASE WHEN p.d <= rad.r THEN 1 ELSE 0 END) AS inside FROM p JOIN rad ON rad.x = p.y WHERE p.x % 2 <> p.y % 2 GROUP BY p.x) SELECT round(avg(CASE WHEN x % 2 = 1 THEN inside END), 6) AS precision, round(avg(CASE WHEN x % 2 = 0 THEN inside END), 6) AS recall FROM cov",
+    "embedding_knn": "WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rn FROM p) SELECT vec_id, CAST(rn AS INT) AS rank, neighbour, round(distance, 4) AS distance FROM r WHERE rn <= 3",
+    "precision_recall": "WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), rad AS (SELECT x, d AS r FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS rn FROM p WHERE x % 2 = y % 2) AS t WHERE rn = 3), cov AS (SELECT p.x, max(CASE WHEN p.d <= rad.r THEN 1 ELSE 0 END) AS inside FROM p JOIN rad ON rad.x = p.y WHERE p.x % 2 <> p.y % 2 GROUP BY p.x) SELECT round(avg(CASE WHEN x % 2 = 1 THEN inside END), 6) AS precision, round(avg(CASE WHEN x % 2 = 0 THEN inside END), 6) AS recall FROM cov",
     "safe_ids": "SELECT c_custkey, 'u_' || substr(sha256('e36:' || c_custkey), 1, 16) AS safe_id, c_custkey || '|' || c_nationkey AS row_key FROM customer",
     "speed_class_orders": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE floor(o_totalprice / 100) END::DOUBLE AS base, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 5 END::DOUBLE AS inc FROM orders) SELECT o_orderkey, base, inc, CASE WHEN base IS NULL THEN 'correspondence' WHEN base + 40 * inc < 30 THEN 'ultrabullet' WHEN base + 40 * inc < 180 THEN 'bullet' WHEN base + 40 * inc < 480 THEN 'blitz' WHEN base + 40 * inc < 1500 THEN 'rapid' ELSE 'classical' END AS speed, CASE WHEN o_orderkey % 50 <= 10 THEN 'opening' WHEN o_orderkey % 50 <= 30 THEN 'middlegame' ELSE 'endgame' END AS phase FROM o",
     "answer_parse": "WITH l AS (SELECT l_orderkey % 5 AS m, substr('abcd', CAST(l_partkey % 4 + 1 AS INT), 1) AS x FROM lineitem WHERE l_linenumber <= 2) SELECT CASE WHEN m IN (0, 1) THEN '(' || x || ')' WHEN m = 2 AND x = 'a' THEN '(a)' WHEN m = 3 THEN '(c)' ELSE 'null' END AS answer, count(*) AS n FROM l GROUP BY 1",

@@ -47,8 +47,8 @@ SPLIT = (
     + """,
 z AS (SELECT user_id, count(*) AS n, max(session) + 1 AS s FROM d GROUP BY user_id),
 b AS (SELECT user_id, session, min(t) AS first FROM d GROUP BY user_id, session),
-k AS (SELECT z.user_id, z.n, CAST(CASE WHEN n < 2 THEN n WHEN s < 2 THEN greatest(1, least(n - 1, round_even(0.7 * n, 0))) ELSE greatest(1, least(n - 1, b.first)) END AS BIGINT) AS k
-      FROM z LEFT JOIN b ON b.user_id = z.user_id AND b.session = greatest(1, least(s - 1, round_even(0.7 * s, 0)))),
+k AS (SELECT z.user_id, z.n, CAST(CASE WHEN n < 2 THEN n WHEN s < 2 THEN greatest(1, least(n - 1, round_even(0.7::DOUBLE * n, 0))) ELSE greatest(1, least(n - 1, b.first)) END AS BIGINT) AS k
+      FROM z LEFT JOIN b ON b.user_id = z.user_id AND b.session = greatest(1, least(s - 1, round_even(0.7::DOUBLE * s, 0)))),
 r AS (SELECT d.*, k.n, k.k FROM d JOIN k USING (user_id))"""
 )
 CELLS = (
@@ -113,8 +113,8 @@ def history_features(spark, sf_dir):
 
 def responses(spark, sf_dir) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    rows = li.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_returnflag") != "R").cast("int").alias("y")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = sessions.decisions(rows.withColumnRenamed("o_custkey", "user_id"), "user_id", ["o_orderdate", "l_orderkey", "l_linenumber"])
+    rows = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", (F.col("l_returnflag") != "R").cast("int").alias("y")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = sessions.decisions(rows.withColumnRenamed("o_custkey", "user_id"), "user_id", ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "y"])
     n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     rows = rows.withColumn("k", F.bround(n * 0.7, 0).cast("long")).withColumn("skill", F.pmod("l_suppkey", F.lit(10)))
     hard = rows.filter("t < k").groupBy("skill").agg((1 - F.avg("y")).alias("difficulty"))
@@ -122,8 +122,8 @@ def responses(spark, sf_dir) -> DataFrame:
 
 
 RESPONSES = """
-q0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS y, o_custkey AS user_id, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-q1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o_orderdate, l_orderkey, l_linenumber) - 1 AS t, CAST(round_even(count(*) OVER (PARTITION BY user_id) * 0.7, 0) AS BIGINT) AS k, l_suppkey % 10 AS skill FROM q0),
+q0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS y, o_custkey AS user_id, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, y) - 1 AS t, CAST(round_even(count(*) OVER (PARTITION BY user_id) * 0.7::DOUBLE, 0) AS BIGINT) AS k, l_suppkey % 10 AS skill FROM q0),
 q2 AS (SELECT skill, 1 - avg(y) AS difficulty FROM q1 WHERE t < k GROUP BY skill),
 q AS (SELECT q1.*, coalesce(q2.difficulty, 0.5) AS difficulty FROM q1 LEFT JOIN q2 USING (skill))"""
 
@@ -395,7 +395,7 @@ ORACLE_SQL = {
     "sessions_events": f"WITH {BASE} SELECT event_id, user_id, t, session, session_pos FROM d",
     "player_stats_events": f"WITH {BASE} SELECT user_id, count(*) AS n_games, count(DISTINCT session) AS n_sessions, round(CASE WHEN count(start) >= 2 THEN (max(start) - min(start)) / 86400 ELSE 0 END, 6) AS span_days FROM d GROUP BY user_id HAVING count(*) >= 50 AND count(DISTINCT session) >= 3",
     "split_session_edge": f"WITH {SPLIT} SELECT user_id, n, k FROM k",
-    "split_first_seen": f"WITH {BASE}, z AS (SELECT user_id, session, count(*) AS rows_, row_number() OVER (PARTITION BY user_id ORDER BY min(t)) AS rk, count(*) OVER (PARTITION BY user_id) AS s FROM d GROUP BY user_id, session) SELECT user_id, CAST(sum(rows_) AS BIGINT) AS n, CAST(CASE WHEN max(s) < 2 THEN round_even(0.7 * sum(rows_), 0) ELSE sum(CASE WHEN rk <= greatest(1, round_even(0.7 * s, 0)) THEN rows_ ELSE 0 END) END AS BIGINT) AS k FROM z GROUP BY user_id",
+    "split_first_seen": f"WITH {BASE}, z AS (SELECT user_id, session, count(*) AS rows_, row_number() OVER (PARTITION BY user_id ORDER BY min(t)) AS rk, count(*) OVER (PARTITION BY user_id) AS s FROM d GROUP BY user_id, session) SELECT user_id, CAST(sum(rows_) AS BIGINT) AS n, CAST(CASE WHEN max(s) < 2 THEN round_even(0.7::DOUBLE * sum(rows_), 0) ELSE sum(CASE WHEN rk <= greatest(1, round_even(0.7::DOUBLE * s, 0)) THEN rows_ ELSE 0 END) END AS BIGINT) AS k FROM z GROUP BY user_id",
     "cells_tertile": f"WITH {CELLS} SELECT user_id, round(scalar, 6) AS scalar, cell FROM c",
     "donor_map": f"WITH {CELLS} SELECT user_id, cell, donor FROM c",
     "history_features": f"WITH {BASE}, {HIST} SELECT event_id, round(post_loss, 6) AS post_loss, round(fatigue::DOUBLE, 6) AS fatigue, round(momentum, 6) AS momentum FROM hf",
@@ -420,7 +420,7 @@ ORACLE_SQL = {
     "nearest_imposter": NEAREST_SQL,
     "cross_matrix": f"WITH {CROSS} SELECT user_id, donor, round(nll, 6) AS nll FROM xm",
     "hardest_donor": f"WITH {CROSS} SELECT user_id, round(max(CASE WHEN donor = user_id THEN nll END), 6) AS own, round(min(CASE WHEN donor <> user_id THEN nll END), 6) AS hardest FROM xm GROUP BY user_id",
-    "mean_trajectory_hold_last": f"WITH {CELLS}, x AS (SELECT r.*, c.cell FROM r JOIN c USING (user_id)), mt AS (SELECT cell, t, avg(value) AS m FROM x WHERE t < k GROUP BY cell, t), g AS (SELECT cell, unnest(range(0, max(t) + 1)) AS t FROM x GROUP BY cell) SELECT g.cell, g.t, round(last_value(m IGNORE NULLS) OVER (PARTITION BY g.cell ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS mean FROM g LEFT JOIN mt ON mt.cell = g.cell AND mt.t = g.t",
+    "mean_trajectory_hold_last": f"WITH {CELLS}, x AS (SELECT r.*, c.cell FROM r JOIN c USING (user_id)), mt AS (SELECT cell, t, avg(value) AS m FROM x WHERE t < k GROUP BY cell, t), gd AS (SELECT cell, unnest(range(0, max(t) + 1)) AS t FROM x GROUP BY cell) SELECT gd.cell, gd.t, round(last_value(m IGNORE NULLS) OVER (PARTITION BY gd.cell ORDER BY gd.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS mean FROM gd LEFT JOIN mt ON mt.cell = gd.cell AND mt.t = gd.t",
     "clamped_donor_series": f"WITH {CELLS} SELECT r.event_id, round(s.value, 6) AS donor_value FROM r JOIN c USING (user_id) JOIN k AS dk ON dk.user_id = c.donor JOIN r AS s ON s.user_id = c.donor AND s.t = least(r.t, dk.k - 1)",
     "length_edges": "SELECT event_type, round(quantile_cont(value, 0.2), 6) AS q1, round(quantile_cont(value, 0.4), 6) AS q2, round(quantile_cont(value, 0.6), 6) AS q3, round(quantile_cont(value, 0.8), 6) AS q4 FROM events GROUP BY event_type",
     "odd_even_split": f"WITH {SPLIT}, x AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY t) - 1) % 2 AS o FROM r WHERE t >= k) SELECT CASE WHEN o = 0 THEN 'odd' ELSE 'even' END AS half, count(*) AS n, round(avg(value), 6) AS mean_value FROM x GROUP BY 1",
