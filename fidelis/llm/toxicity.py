@@ -10,8 +10,8 @@ strongest, fitted on folds that did not set the weights, gives the score.
 The character model sums counts over every document. Labels are read from at most ``most_labelled``
 rows in expectation, drawn by a hash of the id (a documented bound); everything else covers all rows.
 
-Defined cases: null and empty texts get the score of a text without evidence; without labels the score
-is 0.5 * base rate of nothing, that is 0; texts of any length are scored whole; repeated ids are scored
+Defined cases: null and empty texts get the score of a text without evidence; without toxic labels
+every score is 0, without others 1; texts of any length are scored whole; repeated ids are scored
 row by row; a label row that is null is ignored; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fidelis.llm.common import materialize, remainder, table, text_of
 
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     if keep_columns:
         rows = docs.withColumn("_text_", F.col(text_col))
-        return rows.mapInArrow(run, docs.schema.add("_toxicity", "double"))
+        return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())]))
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text_")).mapInArrow(run, f"id {kind}, _toxicity double").select(F.col("id").alias(id_col), F.col("_toxicity").alias("score"))
 
