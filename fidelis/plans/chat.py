@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fidelis.functions import text as tx
 from fidelis.functions.scalars import phase, safe_int, speed_class, square_index, time_control
-from fidelis.operators import metrics, panel, sessions
+from fidelis.operators import coverage, metrics, panel, readouts, sessions, shopping
 from fidelis.plans.trial import r6, table
 
 
@@ -189,9 +189,50 @@ def assignment(spark, sf_dir):
     return panel.assign_min_cost(s, "stratum", "s_suppkey", "s_nationkey", "topic", "size")
 
 
+def form_histogram(spark, sf_dir):
+    """Smoothed shares of event types per user."""
+    h = readouts.form_histogram(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["click", "error", "view"])
+    return h.select("user_id", *[r6(f"p_{x}", f"p_{x}") for x in ("click", "error", "view")])
+
+
+def empty_rates(spark, sf_dir):
+    """Conversations as samples: short, long and closing turns per role."""
+    c = table(spark, sf_dir, "conversations").select(F.col("role").alias("sim"), (F.col("turn") % 2).cast("string").alias("arm"), (F.length("text") < 40).alias("terminal"), F.least(F.size(F.split("text", " ")), F.lit(96)).alias("generated_tokens"))
+    return readouts.empty_rates(c)
+
+
+def selector_pairs(spark, sf_dir):
+    """Segments as simulators: paired differences of mean order values per nation, judged by mean balances."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("user_id"), F.col("c_mktsegment").alias("sim"), "c_acctbal")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    users = o.join(c, "c_custkey").groupBy("sim", "user_id").agg(F.avg("o_totalprice").alias("delta"))
+    return readouts.pair_readout(users, c.groupBy("sim").agg(F.avg("c_acctbal").alias("score")), n_resamples=2000)
+
+
+def selector_verdict(spark, sf_dir):
+    return readouts.classify(selector_pairs(spark, sf_dir))
+
+
+def coverage_basket(spark, sf_dir):
+    """Odd vectors of each label against even ones, in four principal dimensions."""
+    e = table(spark, sf_dir, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int"))
+    return coverage.basket(e, "label", "side", "embedding", n_null=20, n_reps=5, pca_dims=4)
+
+
+def shopping_rows(spark, sf_dir):
+    """Events as shopping actions on the pages: causal state before each."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("slot"), "url").groupBy("slot").agg(F.min("url").alias("url"))
+    a = e.withColumn("slot", F.col("event_id") % 50).join(F.broadcast(pages), "slot", "left")  # fifty slots
+    a = a.select("event_id", "user_id", F.floor(F.col("ts") / 86400).alias("session_id"), "ts", F.when(F.col("event_type") == "click", "click").otherwise("input").alias("action_type"), F.when(F.col("event_type") == "view", "search").otherwise("product_link").alias("click_type"), F.coalesce("url", F.lit("")).alias("url"), F.lit("{}").alias("page_meta"))
+    r = shopping.shopping_rows(a)
+    return r.select("event_id", "t", r6("s_place", "s_place"), r6("s_clicks", "s_clicks"), r6("s_searches", "s_searches"), r6("s_pause", "s_pause"))
+
+
 QUERIES = {f.__name__: f for f in (
     norm_text_dedup, token_jaccard_pairs, row_ok_panel, stratified_users, fold_assignment, collision_antijoin, turn_collisions, page_type, turn_features, first_n_turns, prefix_budget, representative, char_wb_tfidf_cosine,
     embedding_knn, precision_recall, frechet, pca_variance, safe_ids, speed_class_orders, answer_parse, round_robin, primary_clusters, job_matrix, ingest_safe_ints, dose_mix, greedy_dedup, online_clusters, card_fill, assignment,
+    form_histogram, empty_rates, selector_pairs, selector_verdict, coverage_basket, shopping_rows,
 )}
 
 NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -227,4 +268,13 @@ SELECT pr.a, pr.b, round(coalesce(d, 0), 5) AS cosine FROM pr LEFT JOIN dt ON dt
     "job_matrix": "SELECT c_mktsegment, count(*) AS jobs FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) AS s CROSS JOIN range(3) AS r GROUP BY 1",
     "ingest_safe_ints": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS INT) END AS value, (c_custkey % 8) * 8 + c_custkey % 8 AS square FROM customer",
     "dose_mix": "WITH f AS (SELECT c_custkey, unnest([0, 1, 2, 3]) AS i, unnest(['a', 'b', 'c', 'd']) AS t, unnest(['w', 'x', 'y', 'z']) AS o FROM customer), u AS (SELECT c_custkey, i, CASE WHEN CAST('0x' || substr(md5('dose:' || c_custkey || ':' || i), 1, 13) AS BIGINT) / power(16, 13) < 0.5 THEN t ELSE o END AS x FROM f), c AS (SELECT c_custkey, string_agg(x, '; ' ORDER BY i) AS card FROM u GROUP BY 1) SELECT card, count(*) AS n FROM c GROUP BY 1",
+    "form_histogram": "SELECT user_id, round((count_if(event_type = 'click') + 0.5) / (count(*) + 1.5), 6) AS p_click, round((count_if(event_type = 'error') + 0.5) / (count(*) + 1.5), 6) AS p_error, round((count_if(event_type = 'view') + 0.5) / (count(*) + 1.5), 6) AS p_view FROM events GROUP BY user_id",
+    "empty_rates": "WITH c AS (SELECT role AS sim, CAST(turn % 2 AS VARCHAR) AS arm, length(text) < 40 AS terminal, least(len(string_split(text, ' ')), 96) AS g FROM conversations) SELECT sim, arm, count(*) AS n, count_if(terminal)::BIGINT AS n_terminal, count_if(g <= 1)::BIGINT AS n_empty, count_if(g = 96)::BIGINT AS n_cap FROM c GROUP BY sim, arm",
+    "shopping_rows": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS ts, floor(epoch_us(ts) / 1e6 / 86400) AS sess, event_type = 'click' AS click, event_type = 'view' AS search FROM events),
+x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sess, ts) - 1 AS t, row_number() OVER (PARTITION BY user_id, sess ORDER BY ts) - 1 AS place, ts - lag(ts) OVER (PARTITION BY user_id, sess ORDER BY ts) AS dwell FROM e),
+k AS (SELECT user_id, t, dwell, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM x WHERE dwell IS NOT NULL),
+kn AS (SELECT x.event_id, x.user_id, x.t, max(k.n) AS n FROM x LEFT JOIN k ON k.user_id = x.user_id AND k.t < x.t GROUP BY 1, 2, 3),
+p AS (SELECT kn.event_id, avg(k.dwell) AS pause FROM kn JOIN k ON k.user_id = kn.user_id AND k.n <= kn.n AND k.n > kn.n - 5 GROUP BY 1)
+SELECT x.event_id, t, round(least(1, place / 30.0)::DOUBLE, 6) AS s_place, round(coalesce(sum(CASE WHEN click THEN 1 ELSE 0 END) OVER w, 0) / greatest(t, 1), 6) AS s_clicks, round(coalesce(sum(CASE WHEN search THEN 1 ELSE 0 END) OVER w, 0) / greatest(t, 1), 6) AS s_searches, round(least(1, coalesce(pause, 0) / 60), 6) AS s_pause
+FROM x LEFT JOIN p USING (event_id) WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 }
