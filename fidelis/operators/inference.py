@@ -144,5 +144,5 @@ def dose_readout(df: DataFrame, by: list[str], alpha: str, value: str) -> DataFr
     return per.groupBy(*by).agg(
         (F.max_by("_m", alpha) - F.min_by("_m", alpha)).alias("swing"),
         F.bool_and(F.coalesce(F.col("_step") <= 1e-12, F.lit(True))).alias("monotone"),
-        ((F.max_by("_m", alpha) - F.min_by("_m", alpha)) / F.avg("_sd")).alias("swing_over_sd"),
+        F.try_divide(F.max_by("_m", alpha) - F.min_by("_m", alpha), F.avg("_sd")).alias("swing_over_sd"),
     )

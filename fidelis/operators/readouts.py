@@ -54,7 +54,7 @@ def pair_readout(users: DataFrame, selector: DataFrame, n_resamples: int = 10_00
 def classify(pairs: DataFrame) -> DataFrame:
     """n_resolvable, n_agree, share, verdict."""
     c = pairs.agg(F.count_if("resolvable").alias("n_resolvable"), F.count_if("agreement").alias("n_agree"))
-    share = F.col("n_agree") / F.col("n_resolvable")
+    share = F.try_divide("n_agree", "n_resolvable")
     verdict = F.when(F.col("n_resolvable") < LEAST_PAIRS, "underpowered").when(share >= SUPPORT, "support").when(share <= REFUTE, "refute").otherwise("inconclusive")
     return c.select("*", share.alias("share"), verdict.alias("verdict"))
 
