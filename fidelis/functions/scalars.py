@@ -66,9 +66,9 @@ def bucket_label(x: str | Column, edges: tuple[float, ...]) -> Column:
 
 
 def square_index(sq: str | Column) -> Column:
-    """a1 is 0, h8 is 63; anything else 0."""
+    """a1 is 0, h8 is 63, by the first two characters; anything else 0."""
     s = col(sq)
-    return F.when(s.rlike("^[a-h][1-8]$"), (F.ascii(F.substring(s, 2, 1)) - 49) * 8 + F.ascii(s) - 97).otherwise(0)
+    return F.when(s.rlike("^[a-h][1-8]"), (F.ascii(F.substring(s, 2, 1)) - 49) * 8 + F.ascii(s) - 97).otherwise(0)
 
 
 def lognormal_nll(seconds: str | Column, mu: str | Column, sigma: str | Column) -> Column:

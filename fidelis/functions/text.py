@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import col
 
-# What starts a line of code, what ends one, and the words of a page address.
-CODE_START = r"^\s*(def |class |import |from |function |const |let |var |#include|public |private |SELECT |select )"
-CODE_END = r"[{};]\s*$"
-ANSWER_TAG, ANSWER_SAYS, ANSWER_PARENS = "<final_answer>", r"answer(?: is|:) *\(?([a-d])\)?", r"\(([a-d])\)"
+# Patterns of lines of code, and of named answers.
+CODE_START, CODE_END = r"^\s*(def|import|from|class|for|while|if)\b", r"[{};]\s*$"
+ANSWER_TAG, TAGGED, LEADING = "<final_answer>", r"^\s*\(?([a-d])\)?", r"^\s*\(([a-d])\)(?:\s|$)"
+ANSWER_SAYS, ANSWER_PARENS = r"(?:final\s+answer|answer)\s*(?:is|:)\s*\(?([a-d])\)?", r"\(([a-d])\)"
 
 
 def norm_text(c: str | Column) -> Column:
@@ -46,14 +46,14 @@ def has_question(c: str | Column) -> Column:
 
 
 def page_type(url: str | Column) -> Column:
-    u = F.lower(col(url))
-    bare = F.regexp_replace(u, "/+$", "")
+    u = F.coalesce(col(url), F.lit("None"))
+    has = lambda *parts: F.greatest(*[F.contains(u, F.lit(p)) for p in (*parts, parts[0])])
     return (
-        F.when(u.contains("/s?") | u.contains("field-keywords") | u.contains("/s/"), "search results")
-        .when(u.contains("/dp/") | u.contains("/gp/product"), "product page")
-        .when(u.contains("cart"), "cart")
-        .when(bare.endswith(".com") | u.contains("/ref=nav"), "home")
-        .otherwise("other")
+        F.when(has("/s?", "field-keywords", "/s/"), "search results")
+        .when(has("/dp/", "/gp/product"), "product page")
+        .when(has("cart"), "cart")
+        .when(F.regexp_replace(u, "/+$", "").endswith(".com") | has("/ref=nav"), "home")
+        .otherwise("other page")
     )
 
 
@@ -77,14 +77,16 @@ def search_term(meta: str | Column) -> Column:
 
 
 def parse_answer(c: str | Column) -> Column:
-    """"(x)" if exactly one choice is named: after the last answer tag, else by "answer is" or "answer:", else in parentheses."""
-    low = F.lower(col(c))
-    tagged = F.instr(low, ANSWER_TAG) > 0
-    where = F.when(tagged, F.substring_index(low, ANSWER_TAG, -1)).otherwise(low)
-    said = F.array_distinct(F.regexp_extract_all(where, F.lit(ANSWER_SAYS), 1))
-    shown = F.array_distinct(F.regexp_extract_all(where, F.lit(ANSWER_PARENS), 1))
+    """"(x)" if exactly one choice is named. With an answer tag: right after the last one, else in parentheses at the start of the text;
+    without: after "answer is" or "answer:", else anywhere in parentheses."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    found = lambda where, pattern: F.nullif(F.regexp_extract(where, pattern, 1), F.lit(""))
+    tagged = F.coalesce(found(F.substring_index(low, ANSWER_TAG, -1), TAGGED), found(F.substring_index(low, ANSWER_TAG, 1), LEADING))
+    said = F.array_distinct(F.regexp_extract_all(low, F.lit(ANSWER_SAYS), 1))
+    shown = F.array_distinct(F.regexp_extract_all(low, F.lit(ANSWER_PARENS), 1))
     hits = F.when(F.size(said) > 0, said).otherwise(shown)
-    return F.when(F.size(hits) == 1, F.concat(F.lit("("), F.element_at(hits, 1), F.lit(")")))
+    one = F.when(F.instr(low, ANSWER_TAG) > 0, tagged).when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+    return F.concat(F.lit("("), one, F.lit(")"))
 
 
 def final_episode(c: str | Column, mark: str = "\nDate: ") -> Column:
@@ -100,8 +102,9 @@ def format_options(c: str | Column) -> Column:
 
 
 def generated_text(c: str | Column) -> Column:
-    """What stands between response tags, without thoughts."""
-    inner = F.when(F.instr(col(c), "<response>") > 0, F.substring_index(F.substring_index(col(c), "<response>", -1), "</response>", 1)).otherwise(col(c))
+    """What stands after the first opening and before the first closing response tag, without thoughts."""
+    inner = F.when(F.instr(col(c), "<response>") > 0, F.substring(col(c), F.instr(col(c), "<response>") + 10, F.length(col(c)))).otherwise(col(c))
+    inner = F.substring_index(inner, "</response>", 1)
     return F.trim(F.regexp_replace(inner, r"(?s)<think>.*?</think>", ""))
 
 

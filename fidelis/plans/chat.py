@@ -159,7 +159,7 @@ def job_matrix(spark, sf_dir):
 
 def ingest_safe_ints(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "?").when(F.col("c_custkey") % 3 == 1, F.col("c_custkey").cast("string")).otherwise("x1").alias("raw"))
-    return c.select("c_custkey", safe_int("raw").alias("value"), square_index(F.concat(F.substring(F.lit("abcdefgh"), (F.col("c_custkey") % 8 + 1).cast("int"), F.lit(1)), (F.col("c_custkey") % 8 + 1).cast("string"))).cast("long").alias("square"))
+    return c.select("c_custkey", F.coalesce(safe_int("raw"), F.lit(-1)).alias("value"), square_index(F.concat(F.substring(F.lit("abcdefgh"), (F.col("c_custkey") % 8 + 1).cast("int"), F.lit(1)), (F.col("c_custkey") % 8 + 1).cast("string"))).cast("long").alias("square"))
 
 
 def dose_mix(spark, sf_dir):
@@ -245,9 +245,9 @@ ORACLE_SQL = {
     "fold_assignment": f"WITH {OK} SELECT source, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('0|' || source), source) % 2 = 1 THEN 'A' ELSE 'B' END AS fold FROM st",
     "collision_antijoin": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT " + NORM.format("text") + " AS norm FROM benchmark) SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l JOIN b ON b.norm = " + NORM.format("line") + ")",
     "turn_collisions": "WITH c AS (SELECT conv_id % 5 AS u, conv_id, turn, " + NORM.format("text") + " AS norm FROM conversations WHERE role = 'user'), h AS (SELECT DISTINCT x.u, x.conv_id FROM c x JOIN c y ON x.u = y.u AND x.norm = y.norm WHERE x.conv_id % 2 = 1 AND y.conv_id % 2 = 0) SELECT conv_id, turn FROM c WHERE conv_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.u = c.u AND h.conv_id = c.conv_id)",
-    "page_type": "SELECT page_id, CASE WHEN contains(lower(url), '/s?') OR contains(lower(url), 'field-keywords') OR contains(lower(url), '/s/') THEN 'search results' WHEN contains(lower(url), '/dp/') OR contains(lower(url), '/gp/product') THEN 'product page' WHEN contains(lower(url), 'cart') THEN 'cart' WHEN ends_with(rtrim(lower(url), '/'), '.com') OR contains(lower(url), '/ref=nav') THEN 'home' ELSE 'other' END AS kind FROM pages",
+    "page_type": "SELECT page_id, CASE WHEN contains(url, '/s?') OR contains(url, 'field-keywords') OR contains(url, '/s/') THEN 'search results' WHEN contains(url, '/dp/') OR contains(url, '/gp/product') THEN 'product page' WHEN contains(url, 'cart') THEN 'cart' WHEN ends_with(rtrim(url, '/'), '.com') OR contains(url, '/ref=nav') THEN 'home' ELSE 'other page' END AS kind FROM pages",
     "turn_features": r"""WITH c AS (SELECT *, turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS terminal FROM conversations WHERE trim(text) <> '')
-SELECT conv_id, turn, contains(text, '```') OR len(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '^\s*(def |class |import |from |function |const |let |var |#include|public |private |SELECT |select )') OR regexp_matches(x, '[{};]\s*$'))) >= 2 AS code, contains(text, '?') AS question, CAST(len(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '')) AS BIGINT) AS n_words, terminal FROM c WHERE role = 'user'""",
+SELECT conv_id, turn, contains(text, '```') OR len(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '^\s*(def|import|from|class|for|while|if)\b') OR regexp_matches(x, '[{};]\s*$'))) >= 2 AS code, contains(text, '?') AS question, CAST(len(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '')) AS BIGINT) AS n_words, terminal FROM c WHERE role = 'user'""",
     "first_n_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user' AND length(text) <= 400) AS t WHERE rn <= 2",
     "prefix_budget": "SELECT conv_id, turn FROM (SELECT *, sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS run FROM conversations) AS t WHERE run <= 120",
     "representative": "WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user' AND trim(text) <> ''), t AS (SELECT conv_id, substr(string_agg(text, chr(10) ORDER BY turn), 1, 6000) AS text FROM c WHERE rn <= 2 GROUP BY conv_id) SELECT conv_id, md5(text) AS digest, CAST(length(text) AS INT) AS n_chars FROM t",
@@ -266,7 +266,7 @@ SELECT pr.a, pr.b, round(coalesce(d, 0), 5) AS cosine FROM pr LEFT JOIN dt ON dt
     "round_robin": "WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS round FROM documents WHERE lang = 'en') SELECT doc_id, source, round FROM d ORDER BY round, source LIMIT 60",
     "primary_clusters": "WITH d AS (SELECT source, lang, count(*) AS size, min(doc_id) AS earliest FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS rk, coalesce(sum(size) OVER (PARTITION BY source ORDER BY size DESC, earliest, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM d WINDOW w AS (PARTITION BY source ORDER BY size DESC, earliest, lang)) SELECT source, lang, size FROM r WHERE had < 30 AND rk <= 2",
     "job_matrix": "SELECT c_mktsegment, count(*) AS jobs FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) AS s CROSS JOIN range(3) AS r GROUP BY 1",
-    "ingest_safe_ints": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS INT) END AS value, (c_custkey % 8) * 8 + c_custkey % 8 AS square FROM customer",
+    "ingest_safe_ints": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 1 THEN c_custkey ELSE -1 END AS INT) AS value, (c_custkey % 8) * 8 + c_custkey % 8 AS square FROM customer",
     "dose_mix": "WITH f AS (SELECT c_custkey, unnest([0, 1, 2, 3]) AS i, unnest(['a', 'b', 'c', 'd']) AS t, unnest(['w', 'x', 'y', 'z']) AS o FROM customer), u AS (SELECT c_custkey, i, CASE WHEN CAST('0x' || substr(md5('dose:' || c_custkey || ':' || i), 1, 13) AS BIGINT) / power(16, 13) < 0.5 THEN t ELSE o END AS x FROM f), c AS (SELECT c_custkey, string_agg(x, '; ' ORDER BY i) AS card FROM u GROUP BY 1) SELECT card, count(*) AS n FROM c GROUP BY 1",
     "form_histogram": "SELECT user_id, round((count_if(event_type = 'click') + 0.5) / (count(*) + 1.5), 6) AS p_click, round((count_if(event_type = 'error') + 0.5) / (count(*) + 1.5), 6) AS p_error, round((count_if(event_type = 'view') + 0.5) / (count(*) + 1.5), 6) AS p_view FROM events GROUP BY user_id",
     "empty_rates": "WITH c AS (SELECT role AS sim, CAST(turn % 2 AS VARCHAR) AS arm, length(text) < 40 AS terminal, least(len(string_split(text, ' ')), 96) AS g FROM conversations) SELECT sim, arm, count(*) AS n, count_if(terminal)::BIGINT AS n_terminal, count_if(g <= 1)::BIGINT AS n_empty, count_if(g = 96)::BIGINT AS n_cap FROM c GROUP BY sim, arm",

@@ -159,7 +159,7 @@ def running_median_row(spark, sf_dir):
 
 def dwell_buckets(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("dwell", sessions.dwell("start", ["user_id", "session"], ["t"]))
-    return e.select("event_id", r6("dwell", "dwell"), bucket(F.col("dwell") / 3600, CHESS_EDGES).cast("int").alias("bucket"), F.when(F.col("dwell").isNotNull(), bucket_label(F.col("dwell") / 3600, CHESS_EDGES)).alias("label"))
+    return e.select("event_id", r6("dwell", "dwell"), F.coalesce(bucket(F.col("dwell") / 3600, CHESS_EDGES).cast("int"), F.lit(-1)).alias("bucket"), F.coalesce(F.when(F.col("dwell").isNotNull(), bucket_label(F.col("dwell") / 3600, CHESS_EDGES)), F.lit("none")).alias("label"))
 
 
 def ema_state(spark, sf_dir):
@@ -402,7 +402,7 @@ ORACLE_SQL = {
     "item_difficulty": f"WITH {RESPONSES} SELECT skill, count(*) AS n, round(max(difficulty), 6) AS difficulty FROM q GROUP BY skill",
     "memory_row": MEMORY_SQL,
     "running_median_row": f"WITH {BASE} SELECT event_id, round(quantile_cont(value, 0.5) OVER p, 6) AS r_median, round(avg(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS r_last5, round(lag(value) OVER (PARTITION BY user_id ORDER BY t), 6) AS r_last, round(avg(CASE WHEN value < 2 THEN 1.0 ELSE 0.0 END) OVER p, 6) AS r_quick FROM d WINDOW p AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-    "dwell_buckets": f"WITH {BASE}, x AS (SELECT event_id, start - lag(start) OVER (PARTITION BY user_id, session ORDER BY t) AS dwell FROM d) SELECT event_id, round(dwell, 6) AS dwell, CAST(CASE WHEN dwell IS NULL THEN NULL WHEN dwell / 3600 < 1 THEN 0 WHEN dwell / 3600 < 3 THEN 1 WHEN dwell / 3600 < 8 THEN 2 WHEN dwell / 3600 < 20 THEN 3 ELSE 4 END AS INT) AS bucket, CASE WHEN dwell IS NULL THEN NULL WHEN dwell / 3600 < 1 THEN 'under 1s' WHEN dwell / 3600 < 3 THEN '1 to 3s' WHEN dwell / 3600 < 8 THEN '3 to 8s' WHEN dwell / 3600 < 20 THEN '8 to 20s' ELSE 'over 20s' END AS label FROM x",
+    "dwell_buckets": f"WITH {BASE}, x AS (SELECT event_id, start - lag(start) OVER (PARTITION BY user_id, session ORDER BY t) AS dwell FROM d) SELECT event_id, round(dwell, 6) AS dwell, CAST(CASE WHEN dwell IS NULL THEN -1 WHEN dwell / 3600 < 1 THEN 0 WHEN dwell / 3600 < 3 THEN 1 WHEN dwell / 3600 < 8 THEN 2 WHEN dwell / 3600 < 20 THEN 3 ELSE 4 END AS INT) AS bucket, CASE WHEN dwell IS NULL THEN 'none' WHEN dwell / 3600 < 1 THEN 'under 1s' WHEN dwell / 3600 < 3 THEN '1 to 3s' WHEN dwell / 3600 < 8 THEN '3 to 8s' WHEN dwell / 3600 < 20 THEN '8 to 20s' ELSE 'over 20s' END AS label FROM x",
     "ema_state": f"WITH RECURSIVE {BASE}, {HIST}, z AS (SELECT event_id, user_id, t, 0.4 * post_loss AS z FROM hf WHERE t = 0 UNION ALL SELECT hf.event_id, hf.user_id, hf.t, 0.6 * z.z + 0.4 * hf.post_loss FROM z JOIN hf ON hf.user_id = z.user_id AND hf.t = z.t + 1) SELECT event_id, round(z, 6) AS z FROM z",
     "live_window_rate": f"WITH {RESPONSES} SELECT l_orderkey, l_linenumber, round((coalesce(sum(y) OVER w, 0) + 1) / (count(y) OVER w + 2), 6) AS live_p FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)",
     "arms_marginal": f"WITH {ARMS} SELECT user_id, n, round(A0, 6) AS a0, round(A1, 6) AS a1, round(A2, 6) AS a2, round(A3, 6) AS a3, round(A4, 6) AS a4 FROM w",
