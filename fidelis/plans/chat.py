@@ -18,9 +18,9 @@ def norm_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_jaccard_pairs(spark, sf_dir):
-    """Pairs of questions of equal length class with nearly equal token sets."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text", (F.length("text") > 200).alias("long"))
-    return panel.pair_jaccard(c, "key", "text", 0.5, "long").select("key_a", "key_b", r6("jaccard", "jaccard"))
+    """Pairs of documents of a language with nearly equal token sets."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return panel.pair_jaccard(d, "doc_id", "text", 0.8, "lang").select("key_a", "key_b", r6("jaccard", "jaccard"))
 
 
 def row_ok_panel(spark, sf_dir):
@@ -239,7 +239,7 @@ NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 OK = "ok AS (SELECT source, count(*) AS n, count(DISTINCT floor(n_chars / 1000)) AS classes FROM documents WHERE lang = 'en' AND n_chars >= 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY source HAVING count(*) >= 3 AND count(DISTINCT floor(n_chars / 1000)) >= 2), st AS (SELECT *, CAST(least(2, (row_number() OVER (ORDER BY n, source) - 1) * 3 // count(*) OVER ()) AS BIGINT) AS stratum FROM ok)"
 ORACLE_SQL = {
     "norm_text_dedup": "SELECT source, sha256(" + NORM.format(r"regexp_replace(text, '[^ -~\n]', '', 'g')") + ") AS norm, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1, 2",
-    "token_jaccard_pairs": r"WITH c AS (SELECT conv_id * 100 + turn AS key, length(text) > 200 AS long, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM conversations WHERE role = 'user') SELECT a.key AS key_a, b.key AS key_b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM c a JOIN c b ON a.long = b.long AND a.key < b.key WHERE len(list_intersect(a.t, b.t)) >= 0.5 * len(list_distinct(list_concat(a.t, b.t))) AND len(a.t) > 0",
+    "token_jaccard_pairs": r"WITH c AS (SELECT doc_id AS key, lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents), p AS (SELECT a.key AS key_a, b.key AS key_b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM c a JOIN c b ON a.lang = b.lang AND a.key < b.key WHERE len(a.t) > 0 AND len(b.t) > 0 AND least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t))) SELECT key_a, key_b, round(i / (n - i), 6) AS jaccard FROM p WHERE i >= 0.8 * (n - i)",
     "row_ok_panel": f"WITH {OK} SELECT source, n, classes FROM ok",
     "stratified_users": f"WITH {OK}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0|' || source), source) AS rn, 2 + CASE WHEN dense_rank() OVER (ORDER BY stratum) <= 1 THEN 1 ELSE 0 END AS take FROM st) SELECT source, stratum, n FROM k WHERE rn <= take",
     "fold_assignment": f"WITH {OK} SELECT source, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('0|' || source), source) % 2 = 1 THEN 'A' ELSE 'B' END AS fold FROM st",
