@@ -36,7 +36,7 @@ SEPARATORS = " .-_*'"
 #: Nats for a substitution, for a dropped repetition, for a kept one beyond two, for a dropped sign.
 SUBSTITUTE, DROP, KEEP, LOSE = 0.7, 0.3, 3.0, 3.0
 _WORDS = re.compile(r"[^\W\d_]+")
-_CORE = re.compile(r"[^\W\d_][0-9@$!|+€]+(?=[^\W\d_])|(?<!\S)[0-9@$|+€]+(?=[^\W\d_]{2})|[^\W\d_]{2}[0-9@$|+€](?!\S)|([^\W\d_])\1\1")
+_SIGNS = re.compile(r"[0-9@$!|+€]+")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_@$]){3,}(?!\S)")
 #: Character classes: 0 anything but a letter, a to z, and 37 classes of other letters.
 CLASSES = 64
@@ -135,22 +135,43 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         low = text.lower()
         out = set(_WORDS.findall(low))
-        at = 0
-        for m in _CORE.finditer(low):
-            if m.start() < at:
+        end = 0
+        for at in sorted({*_signs(low), *_repeats(low)}):
+            if at < end:
                 continue
-            a, b = m.start(), m.end()
+            a = b = at
             while a and not low[a - 1].isspace():
                 a -= 1
             while b < len(low) and not low[b].isspace():
                 b += 1
-            at = b
+            end = b
             out.update(self.span(low[a:b].strip(".,;:!?\"'()")))
         for m in _SPACED.finditer(low):
             out.update(self.span(m[0]))
         return out
 
 
+def _signs(low: str) -> list[int]:
+    """Places of digits and signs between letters, before two letters that begin a word, or singly after two that end one."""
+    out = []
+    for m in _SIGNS.finditer(low):
+        a, b = m.span()
+        before, after = low[a - 1 : a], low[b : b + 1]
+        if after.isalpha():
+            if before.isalpha() or "!" not in m[0] and not before.strip() and low[b : b + 2].isalpha() and b + 2 <= len(low):
+                out.append(a)
+        elif not after.strip() and b - a == 1 and m[0] != "!" and a > 1 and low[a - 2 : a].isalpha():
+            out.append(a)
+    return out
+
+
+def _repeats(low: str) -> list[int]:
+    """Places of letters that follow two of their kind."""
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = points[1:] == points[:-1]
+    return [i for i in np.flatnonzero(same[1:] & same[:-1]).tolist() if low[i].isalpha()]
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings of 4 to 6 letters."""
     return [f"={word}", *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
