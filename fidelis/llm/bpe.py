@@ -190,6 +190,11 @@ def decode_ids(ids: list[int], names: list[bytes]) -> str:
     return b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def packed(names: list[bytes]) -> str:
+    """Type in which ids travel: two bytes where the vocabulary allows."""
+    return "<u2" if len(names) <= 1 << 16 else "<u4"
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _k1, _k2, _t: equal keys only for rows with equal ids and texts (up to a 64-bit hash)."""
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k1"), F.xxhash64(text_of(text_col)).alias("_k2"), text_of(text_col).alias("_t"))
@@ -214,19 +219,21 @@ def encode_corpus(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     owners = again.groupBy(F.col("_first._k1").alias("_k1"), F.col("_first._k2").alias("_k2")).agg(F.collect_list(F.struct(F.col("_first._at").alias("_at"), "_h")).alias("_list"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = codec(path)
+        encode, known = codec(path)
+        kind = packed(known)
         for b in batches:
             names, ids = [], []
-            for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, wanted in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if wanted:
                     parts = chunks(t)
                     for x in wanted:
                         names.append(x["_h"])
-                        ids.append(np.array(encode(parts[x["_at"]][0]), "<u4").tobytes())
+                        ids.append(np.array(encode(parts[x["_at"]][0]), kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], ["_h", "_ids"])
 
-    # rows that repeat id and text meet the same list: one of them is enough
-    owned = rows.select("_k1", "_k2", "_t").join(owners, ["_k1", "_k2"], "left").select("_t", "_list").filter("_list is not null")
+    # rows that repeat id and text meet the same list: one of them is enough. The columns are those of the join
+    # below, so that Spark deals out the texts once for both
+    owned = rows.join(owners, ["_k1", "_k2"], "left").select("_id", "_t", "_list")
     book = owned.mapInArrow(learn, "_h binary, _ids binary").groupBy("_h").agg(F.first("_ids").alias("_ids"))
     # each document's chunks once, however often the row is repeated
     uses = placed.distinct().join(book, "_h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_at", "_ids")).alias("_list"))
@@ -237,7 +244,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             for i in range(0, whole.num_rows, 256):
                 b, out = whole.slice(i, 256), []
                 for t, uses in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    shared = {x["_at"]: np.frombuffer(x["_ids"], "<u4").tolist() for x in uses or ()}
+                    shared = {x["_at"]: np.frombuffer(x["_ids"], packed(names)).tolist() for x in uses or ()}
                     ids = encode_text(t, shared, encode)
                     row = [len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(ids, names).encode()).hexdigest()]
                     out.append([*row, ids] if with_ids else row)
