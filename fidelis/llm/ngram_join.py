@@ -2,11 +2,12 @@
 
 Texts with equal shingle sets form one class. Each class has 64 min-hashes, its tokens. A run splits
 all classes on sampled tokens: a class goes to one bucket per sampled token, named by its value there.
-Buckets of at most ``limit`` classes are compared by brute force, larger ones are split again on
-tokens of their own, and what is still large at ``depth`` is compared in pairs of blocks, so nothing is
-left out. Runs are repeated until a pair at the threshold is met with probability ``recall``. A pair
-is compared only in the first bucket its two classes share. Pairs that the min-hashes support are then
-verified on the shingles of the whole texts; only classes that have such a pair are read again.
+Buckets of at most ``limit`` classes are compared by brute force; larger ones are split again on
+tokens of their own, unless their mean similarity is high; those and what is still large at ``depth``
+are compared in pairs of blocks of about 4 * ``limit`` classes, so nothing is left out. Runs are
+repeated until a pair at the threshold is met with probability ``recall``. A pair is compared only in
+the first bucket its two classes share. Pairs that the min-hashes support are then verified on the
+shingles of the whole texts; only classes that have such a pair are read again.
 
 Words are runs without ASCII white space, in lower case; a text of one to four words has one shingle.
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import materialize, table, text_of
@@ -158,30 +159,40 @@ def _token(j) -> F.Column:
     return F.substring(F.col("_sig"), j * 4 + 1, 4) if isinstance(j, int) else F.substr(F.col("_sig"), j * 4 + 1, F.lit(4))
 
 
-def buckets(classes: DataFrame, similarity: float, splits: int, depth: int, recall: float, limit: int) -> DataFrame:
+def buckets(classes: DataFrame, similarity: float, splits: int, depth: int, recall: float, limit: int, density: float = 0.5) -> DataFrame:
     """_set, _node, _blocks (over 1: the bucket is compared in so many blocks) of all buckets to compare."""
     draw = np.random.default_rng(3)
     roots = [(r, int(j)) for r in range(runs_needed(similarity, splits, depth, recall)) for j in draw.choice(TOKENS, splits, replace=False)]
     level = classes.filter("_size > 0").select("_set", "_sig", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), _token(j)) for r, j in roots])).alias("_node")).select("_set", "_node")
-    out = None
+    blocks = F.when(F.col("_n") <= limit, 1).otherwise(F.ceil(F.col("_n") / (4 * limit))).cast("int").alias("_blocks")
+    done = []
     for d in range(1, depth + 1):
         level = materialize(level, "path-level")
         sizes = level.groupBy("_node").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        last = d == depth
         some = level.join(sizes, "_node").select("_set", "_node", "_n")
-        done = some.filter(F.lit(True) if last else F.col("_n") <= limit)
-        done = done.select("_set", "_node", F.ceil(F.col("_n") / limit).cast("int").alias("_blocks"))
-        out = done if out is None else out.unionByName(done)
-        if last:
+        if d == depth:
+            done.append(some.select("_set", "_node", blocks))
             break
-        large = materialize(some.filter(F.col("_n") > limit).select("_set", "_node"), "path-large")
+        done.append(some.filter(F.col("_n") <= limit).select("_set", "_node", blocks))
+        large = materialize(some.filter(F.col("_n") > limit), "path-large")
         if not large.limit(1).count():
             break
         # each large bucket draws tokens of its own; the second differs from the first
         one = F.pmod(F.xxhash64("_node", F.lit(1)), F.lit(TOKENS)).cast("int")
         step = F.pmod(F.xxhash64("_node", F.lit(2)), F.lit(TOKENS // splits - 1)).cast("int") + 1
         split = [F.pmod(one + step * k, F.lit(TOKENS)).cast("int") for k in range(splits)]
-        level = large.join(classes.select("_set", "_sig"), "_set").select("_set", F.explode(F.array(*[F.xxhash64("_node", j, _token(j)) for j in split])).alias("_node"))
+        children = large.join(classes.select("_set", "_sig"), "_set").select("_set", "_node", "_n", F.explode(F.array(*[F.xxhash64("_node", j, _token(j)) for j in split])).alias("_child"))
+        children = materialize(children, "path-children")
+        # the share of pairs that stay together is the mean similarity in a bucket: where it is high, splitting
+        # only copies the pairs, and the bucket is compared as it is
+        each = children.groupBy("_node", "_child").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+        dense = each.groupBy("_node").agg((F.sum(F.col("_c") * F.col("_c")) / (splits * F.first("_n") * F.first("_n"))).alias("_same")).filter(F.col("_same") >= density).select("_node")
+        dense = materialize(dense, "path-dense")
+        done.append(large.join(dense, "_node", "left_semi").select("_set", "_node", blocks))
+        level = children.join(dense, "_node", "left_anti").select("_set", F.col("_child").alias("_node"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -369,7 +380,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def jaccard_join(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """A row per document: id, class_id (smallest id of its connected documents), n_links (other documents at least this similar, copies included), _x (hash of the text)."""
     rows, classes, near = links(docs, similarity, id_col=id_col, text_col=text_col, **how)
-    labels = components(near, "_set", "_root")
+    # a class of a large bucket has a root in each pair of blocks: tie those roots to the smallest one
+    least_root = near.select("_set", "_root", F.min("_root").over(Window.partitionBy("_set")).alias("_top"))
+    edges = least_root.select("_set", "_top").union(least_root.select("_root", "_top")).distinct()
+    labels = components(edges, "_set", "_top")
     linked = near.groupBy("_set").agg(F.sum("_links").alias("_links"))
     joined = classes.select("_set", "_n", "_least").join(linked, "_set", "left").join(labels.withColumnRenamed("_v", "_set"), "_set", "left")
     joined = materialize(joined.select("_set", "_n", "_least", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_label", "_set").alias("_label")), "ngram-joined")
