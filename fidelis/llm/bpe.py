@@ -235,8 +235,8 @@ def encode_corpus(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     # below, so that Spark deals out the texts once for both
     owned = rows.join(owners, ["_k1", "_k2"], "left").select("_id", "_t", "_list")
     book = owned.mapInArrow(learn, "_h binary, _ids binary").groupBy("_h").agg(F.first("_ids").alias("_ids"))
-    # each document's chunks once, however often the row is repeated
-    uses = placed.distinct().join(book, "_h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_at", "_ids")).alias("_list"))
+    # each document's shared chunks once, however often the row is repeated
+    uses = placed.join(book, "_h").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_at", "_ids")).alias("_list"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, names = codec(path)
