@@ -388,6 +388,29 @@ def test_passages(docs, none):
     assert p.passages(none).count() == 0
 
 
+def test_passages_with_edited_words(spark):
+    """Passages just over the similarity, with one to four edited words: a pair of documents each, the shortest of 51 words."""
+    from fidelis.llm import passages as p
+
+    assert p.functions_needed(0.8, 2, 0.97) == 4 and p.functions_needed(0.8, 2, 0.99) == 5
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    while len(rows) < 160:
+        i, edits = len(rows), len(rows) // 2 % 4 + 1
+        one = prose(45 * edits + 6)
+        two = list(one)
+        for j in rng.sample(range(1, len(one) - 1), edits):
+            two[j] = "edited"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (one, two))
+        if len(a & b) >= 0.8 * len(a | b):
+            rows += [(i + k, " ".join(prose(60) + x + prose(60)), "en", "s") for k, x in enumerate((one, two))]
+    got = {(r["doc_id"], r["match_doc_id"]) for r in p.passages(frame(spark, rows)).collect()}
+    found = [sum((i, i + 1) in got for i in range(0, 160, 2) if i // 2 % 4 == k) for k in range(4)]
+    assert min(found) >= 19 and sum(found) >= 79 and all(a // 2 == b // 2 for a, b in got)
+
+
 def test_pipeline(spark, tmp_path):
     import shutil
 
