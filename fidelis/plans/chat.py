@@ -214,9 +214,9 @@ def selector_verdict(spark, sf_dir):
 
 
 def coverage_basket(spark, sf_dir):
-    """Odd vectors of each label against even ones, in four principal dimensions."""
+    """Odd vectors of each label against even ones, in all their dimensions, with 200 resamples and 1000 draws of the radius."""
     e = table(spark, sf_dir, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int"))
-    return coverage.basket(e, "label", "side", "embedding", n_null=20, n_reps=5, pca_dims=4)
+    return coverage.basket(e, "label", "side", "embedding")
 
 
 def shopping_rows(spark, sf_dir):

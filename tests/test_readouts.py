@@ -72,6 +72,31 @@ def test_coverage(spark):
     assert set(z) == set(coverage.ORIENTATION) and z["recall"] < -3 and z["wasserstein"] < -3
 
 
+def test_coverage_draws(spark):
+    """The query runs with the whole numbers of draws, in all dimensions; draws dealt over tasks give what one loop gives."""
+    import inspect
+
+    from fidelis.plans import chat
+
+    defaults = {k: v.default for k, v in inspect.signature(coverage.basket).parameters.items()}
+    assert (defaults["n_null"], defaults["n_reps"], defaults["n_probe"], defaults["pca_dims"]) == (200, 1000, 2048, None)
+    assert not any(f"{k}=" in inspect.getsource(chat.coverage_basket) for k in ("n_null", "n_reps", "n_probe", "pca_dims"))
+    rng = np.random.default_rng(3)
+    real, made = (np.array(sorted(rng.normal(size=(n, 12)).tolist())) for n in (30, 25))
+    df = spark.createDataFrame([("c", s, v.tolist()) for s, part in ((0, real), (1, made)) for v in part], "cell string, side int, v array<double>")
+    rows = {r["metric"]: r for r in coverage.basket(df, "cell", "side", "v", n_null=7, n_reps=23, n_probe=64, per_task=2).collect()}
+    radius = np.mean(coverage.radius_draws(real, 25, list(range(23))))
+    probes = coverage.box_sample(real, 64, np.random.default_rng([0, 2]))
+    one = [coverage.metrics_row(real, x, probes, 3, radius) for x in (made, *(real[np.random.default_rng([0, 3, i]).integers(0, 30, 25)] for i in range(1, 8)))]
+    for m, more in coverage.ORIENTATION.items():
+        null = [x[m] for x in one[1:]]
+        z = np.clip((one[0][m] - np.mean(null)) / max(np.std(null, ddof=1), 1e-3) * (1 if more else -1), -10, 10)
+        assert (rows[m]["value"], rows[m]["null_mean"], rows[m]["z"]) == pytest.approx((one[0][m], np.mean(null), z))
+        assert rows[m]["aggregate_z"] == pytest.approx(np.mean([r["z"] for r in rows.values()]))
+    # points of a box in many dimensions are not correlated
+    assert np.abs(np.corrcoef(coverage.halton(2048, 64, rng).T) - np.eye(64)).max() < 0.15
+
+
 def test_sinks(spark, tmp_path):
     a = sinks.record_run(spark, str(tmp_path), "e", {"k": 1}, {"m": 0.5})
     assert a.endswith(sinks.run_id("e", {"k": 1}).rsplit("__", 1)[1])
