@@ -5,8 +5,10 @@ disposal and transparency rules. LZW is decoded with arrays: code widths depend
 number of codes since the last clear code, an entry is the output of one code and the byte after
 it, so each output byte points at an earlier one and the pointers are followed by doubling.
 
-``encode`` writes samples with a grey palette of 256, frames of ``WIDTH`` columns, and literal
-codes with a clear code before the width would grow: valid code streams that any reader decodes.
+``encode`` writes samples with a grey palette of 256 and frames of ``WIDTH`` columns as LZW codes that
+grow from 9 to 12 bits, with a clear code when the table is full. Frames take the disposals leave, restore
+the picture before and restore the background in turn, and a sample that already stands on the canvas is written
+as a transparent entry where the frame leaves a value unused, so the samples come back only from the composed frames.
 
 Defined cases: null and empty texts become one row of blanks; texts of any length are split over
 frames of at most ``ROWS`` rows; an empty table gives an empty result; further columns are ignored.
@@ -26,16 +28,53 @@ from pyspark.sql import functions as F
 
 from fidelis.llm.common import text_of
 
-WIDTH, ROWS, DELAY = 192, 512, 4
-#: Literal codes between clear codes, such that codes stay 9 bits wide.
-RUN = 254
+WIDTH, ROWS, DELAY = 192, 32, 4
+#: Disposals of frames in turn: leave, restore the picture before, restore the background.
+DISPOSALS = (1, 3, 2)
+#: Codes of a table: the last entry of twelve bits is made with this many.
+FULL = 4095 - 257
 _PALETTE = bytes(v for i in range(256) for v in (i, i, i))
-
-
-def _pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, least significant bit first."""
-    bits = ((codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+#: Width of the code that follows so many codes since the last clear code.
+_WIDTHS = np.array([max(9, (257 + j).bit_length()) for j in range(FULL + 1)], np.int64)
+
+
+def lzw_encode(data: bytes) -> bytes:
+    """LZW code stream of 8-bit samples: the longest known string each time, table cleared when full."""
+    codes, book, made, since = [256], {}, 258, [0]
+    put, mark, start = codes.append, since.append, 1
+    current = -1
+    for sample in data:
+        if current < 0:
+            current = sample
+            continue
+        key = current << 8 | sample
+        if key in book:
+            current = book[key]
+            continue
+        put(current)
+        current = sample
+        if made == 4095:
+            put(256)
+            mark(len(codes) - 1)
+            book, made = {}, 258
+        else:
+            book[key] = made
+            made += 1
+    put(current)
+    put(257)
+    # widths from the number of codes since the clear code before; a first clear code has nine bits
+    n = np.array(codes, np.uint32)
+    age = np.arange(len(n)) - np.repeat(np.array(since), np.diff([*since, len(n)])) - 1
+    for at in since[1:]:
+        age[at] = FULL
+    width = _WIDTHS[np.maximum(age, 0)]
+    end = np.cumsum(width)
+    bit = end - width
+    out = np.zeros((int(end[-1]) + 7) // 8 + 3, np.uint32)
+    shifted = n << (bit & 7).astype(np.uint32)
+    for k in range(3):
+        np.add.at(out, (bit >> 3) + k, (shifted >> np.uint32(8 * k)) & np.uint32(255))
+    return out[: (int(end[-1]) + 7) // 8].astype(np.uint8).tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -49,19 +88,24 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode(samples: bytes, rows: int = ROWS) -> bytes:
-    """A GIF whose frames hold the samples, a positive multiple of WIDTH of them, in order."""
+    """A GIF whose composed frames hold the samples, a positive multiple of WIDTH of them, in order."""
     height = len(samples) // WIDTH
     out = [b"GIF89a" + struct.pack("<HHBBB", WIDTH, min(height, rows), 0xF7, 0, 0) + _PALETTE]
-    for top in range(0, height, rows):
+    # what stands on the canvas, -1: nothing
+    canvas = np.full(min(height, rows) * WIDTH, -1, np.int16)
+    for k, top in enumerate(range(0, height, rows)):
         part = np.frombuffer(samples, np.uint8)[top * WIDTH : (top + rows) * WIDTH]
-        n = len(part)
-        k = -(-n // RUN)
-        codes = np.full(n + k + 1, 257, np.uint16)
-        codes[np.arange(n) + np.arange(n) // RUN + 1] = part
-        codes[np.arange(k) * (RUN + 1)] = 256
-        # replace the picture before: disposal 1, no transparent entry
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, n // WIDTH, 0) + b"\x08" + _blocks(_pack9(codes)))
+        n, disposal = len(part), DISPOSALS[k % len(DISPOSALS)]
+        stands = canvas[:n] == part
+        unused = int(np.bincount(part, minlength=256).argmin())
+        clear = unused if stands.any() and not (part == unused).any() else None
+        shown = part if clear is None else np.where(stands, np.uint8(clear), part)
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), DELAY, clear or 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, n // WIDTH, 0) + b"\x08" + _blocks(lzw_encode(shown.tobytes())))
+        if disposal == 1:
+            canvas[:n] = part
+        elif disposal == 2:
+            canvas[:n] = -1
     return b"".join(out) + b"\x3b"
 
 
@@ -107,31 +151,9 @@ def _codes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(ages)
 
 
-def _literal(data: np.ndarray, n: int) -> np.ndarray | None:
-    """The samples of a stream whose every code is 9 bits wide with a clear code before each RUN literals; else None."""
-    k = -(-n // RUN)
-    count = n + k + 1
-    if len(data) * 8 < count * 9 or len(data) != -(-count * 9 // 8):
-        return None
-    at = np.arange(count, dtype=np.int64) * 9
-    buf = np.concatenate([data, np.zeros(1, np.uint8)])
-    byte = at >> 3
-    got = ((buf[byte].astype(np.uint16) | (buf[byte + 1].astype(np.uint16) << 8)) >> (at & 7).astype(np.uint16)) & 511
-    marks = np.arange(k) * (RUN + 1)
-    mask = np.ones(count, bool)
-    mask[marks] = False
-    mask[-1] = False
-    out = got[mask]
-    if got[-1] != 257 or (got[marks] != 256).any() or (out > 255).any():
-        return None
-    return out.astype(np.uint8)
-
-
 def lzw_decode(data: bytes | np.ndarray, least: int, n: int) -> np.ndarray:
     """At most n samples of an LZW code stream with codes of least + 1 bits at first."""
     data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
-    if least == 8 and (plain := _literal(data, n)) is not None:
-        return plain
     codes, ages = _codes(data, least)
     m = len(codes)
     if not m:
@@ -275,7 +297,8 @@ def gif_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 for x in part.column(2):
                     gif = x.as_buffer().to_pybytes()
                     w, h, frames = decode(gif)
-                    payload = b"".join(f["indices"].tobytes() for f in frames)
+                    # grey levels of what each frame shows in its box once it is composed
+                    payload = b"".join(f["canvas"][: f["box"][3], :, 0].tobytes() for f in frames)
                     colours = sum((histogram({"canvas": f["canvas"][: f["box"][3]]}) for f in frames), np.zeros(64, np.int64))
                     delays = [f["delay"] for f in frames]
                     feature = f"{w}x{h};{len(frames)};{sum(delays)};" + ",".join(f"{k}:{n}" for k, n in enumerate(colours.tolist()) if n)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm.bpe import op9_bpe
-from fidelis.llm.common import table
+from fidelis.llm.common import materialize, table
 from fidelis.llm.langid import op5_language_id
 from fidelis.llm.ngram_join import op8_ngram_join
 from fidelis.llm.passages import op10_passages
@@ -54,9 +54,10 @@ FROM c GROUP BY conv_id
 
 
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are stored as GIF files in a Parquet table, which is read back and decoded."""
     from fidelis.llm.gif import gif_features, texts_to_gif
 
-    return gif_features(texts_to_gif(table(spark, sf_dir, "documents"))).drop("delays_cs", "colour_histogram")
+    return gif_features(materialize(texts_to_gif(table(spark, sf_dir, "documents")), "gif-media"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
