@@ -17,9 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(column: str = "text") -> Column:
+def text_of(column: str | Column = "text") -> Column:
     """The text, null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+
+
+def id_keys(column: Column, name: str) -> tuple[Column, Column]:
+    """Two columns without nulls that say the same as an id: equal ids, null ones too, meet in plain equi-joins."""
+    return F.coalesce(column.cast("string"), F.lit("")).alias(f"{name}1"), column.isNull().alias(f"{name}2")
+
+
+def packed_row(docs: DataFrame, name: str = "_row") -> Column:
+    """All columns of docs in one struct, so that no name of theirs can clash with another."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(name)
 
 
 def shared_dir(spark: SparkSession) -> str:

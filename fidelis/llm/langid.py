@@ -1,15 +1,16 @@
 """Language ID by segmentation-marginalised unigrams.
 
-The pieces come from a fixed public vocabulary. Each language has a probability per piece; the
-probability of a word is the sum over all its segmentations into pieces, found by a forward
-recursion, and a text's words are independent. Expectation maximisation over the counts of all
-training words fits the probabilities: the counts are gathered from every training document, the
-expected piece counts are summed by Spark, and only pieces x languages numbers reach the driver.
+The pieces come from a fixed public vocabulary, all of its pieces of letters whatever their length. Each
+language has a probability per piece; the probability of a word is the sum over all its segmentations into
+pieces, found by a forward recursion, and a text's words (runs of letters) are independent. Expectation
+maximisation over the counts of all training words fits the probabilities until the training words gain less
+than ``GAIN`` in log likelihood: the counts are gathered from every training document, the expected piece
+counts are summed by Spark, and only pieces x languages numbers reach the driver.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; so do all texts if
-there is nothing to learn from; letter runs of more than ``LONGEST`` characters are scored in parts;
-ties go to the language that sorts first; null ids fall in the fold of the empty text; an empty table
-gives an empty result; further columns are ignored.
+there is nothing to learn from; words of any length are scored whole; more than ``most_langs`` languages are an
+error, which bounds the numbers above (pieces x 200, about 50 MB); ties go to the language that sorts first;
+null ids fall in the fold of the empty text; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 
 from fidelis.llm.common import materialize, remainder, table
 
-LONGEST, LONGEST_PIECE = 40, 10
-#: Scale per character that keeps sums near 1, and added counts.
-SCALE, ADDED = 12.0, 0.05
+#: Scale per character that keeps sums near 1, steps after which they are scaled anew, and added counts.
+SCALE, STEPS, ADDED = 12.0, 32, 0.05
+#: Share of the log likelihood that a round has to gain, and rounds at most.
+GAIN, ROUNDS = 0.01, 8
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,10 +42,11 @@ def default_vocabulary() -> str:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. Numbers such as one half are word characters but no letters."""
     out = _LETTERS.findall(text.lower())
-    if len(text) > LONGEST and any(len(w) > LONGEST for w in out):
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    if all(map(str.isalpha, out)):
+        return out
+    return [p for w in out for p in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 class Pieces:
@@ -54,7 +57,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        names = sorted(x for x in names if len(x) <= LONGEST_PIECE and all(c == "▁" or c.isalpha() for c in x))
+        names = sorted(x for x in names if all(c == "▁" or c.isalpha() for c in x))
+        self.longest = max(map(len, names), default=1)
         self.size = len(names) + 1
         keys = np.array([self.key(x) for x in names], np.uint64)
         ids = np.arange(1, self.size, dtype=np.int32)
@@ -89,7 +93,7 @@ class Pieces:
             points = np.frombuffer("".join(words[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), n)
             points = np.concatenate([np.full((len(rows), 1), ord("▁"), np.uint32), points], 1).astype(np.uint64) + np.uint64(1)
             h, out = np.zeros((len(rows), n + 2), np.uint64), []
-            for m in range(1, min(n + 1, LONGEST_PIECE) + 1):
+            for m in range(1, min(n + 1, self.longest) + 1):
                 h = (h[:, : n + 2 - m] + points[:, m - 1 :]) * _BASE
                 got = self.numbers(h)
                 if m > 1:
@@ -103,14 +107,24 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(n: int, spans: list[np.ndarray], probs: np.ndarray) -> np.ndarray:
-    """Sums over segmentations up to each place, scaled by SCALE per character: words x (n + 1) x languages. probs: pieces x languages, a last row of zeros."""
-    alpha = np.zeros((n + 1, len(spans[0]), probs.shape[1]))
+def forward(n: int, spans: list[np.ndarray], probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations of words of n characters, words x languages, and the logs they are to be multiplied by, per word.
+
+    probs: pieces x languages, a last row of zeros. The last sums alone are held, in a ring."""
+    ring = len(spans) + 1
+    alpha = np.zeros((ring, len(spans[0]), probs.shape[1]))
     alpha[0] = 1
+    logs = np.full(len(spans[0]), -n * np.log(SCALE))
     for j in range(1, n + 1):
+        now = np.zeros(alpha.shape[1:])
         for m in range(1, min(j, len(spans)) + 1):
-            alpha[j] += alpha[j - m] * probs[spans[m - 1][:, j - m]] * SCALE**m
-    return alpha
+            now += alpha[(j - m) % ring] * probs[spans[m - 1][:, j - m]] * SCALE**m
+        alpha[j % ring] = now
+        if j % STEPS == 0:
+            top = np.maximum(alpha.max((0, 2)), 1e-290)
+            alpha /= top[None, :, None]
+            logs += np.log(top)
+    return alpha[n % ring], logs
 
 
 def log_probs(words: list[str], path: str, probs: np.ndarray) -> np.ndarray:
@@ -118,33 +132,48 @@ def log_probs(words: list[str], path: str, probs: np.ndarray) -> np.ndarray:
     out = np.empty((len(words), probs.shape[1] if probs.ndim > 1 else 1))
     for n, rows, spans in pieces(path).spans(words):
         for i in range(0, len(rows), 20000):
-            part = [s[i : i + 20000] for s in spans]
-            out[rows[i : i + 20000]] = np.log(np.maximum(forward(n, part, probs)[n], 1e-290)) - n * np.log(SCALE)
+            sums, logs = forward(n, [s[i : i + 20000] for s in spans], probs)
+            out[rows[i : i + 20000]] = np.log(np.maximum(sums, 1e-290)) + logs[:, None]
     return out
 
 
-def expected_counts(words: list[str], langs: np.ndarray, counts: np.ndarray, path: str, probs: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language under the present probabilities: forward and backward sums."""
+def expected_counts(words: list[str], langs: np.ndarray, counts: np.ndarray, path: str, probs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected uses of each piece in each language under the present probabilities (forward and backward sums), and the words' log likelihood."""
     size, width = probs.shape
-    out = np.zeros(size * width)
+    out, likelihood = np.zeros(size * width), 0.0
     for n, rows, spans in pieces(path).spans(words):
-        for i in range(0, len(rows), 20000):
-            row, part = rows[i : i + 20000], [s[i : i + 20000] for s in spans]
+        per = max(1, 400_000 // n)
+        for i in range(0, len(rows), per):
+            row, part = rows[i : i + per], [s[i : i + per] for s in spans]
             lang = langs[row]
             p = [probs[s, lang[:, None]] * SCALE ** (m + 1) for m, s in enumerate(part)]
+            # sums up to and from each place, each divided by its scale; the scales' logs add up
             alpha, beta = np.zeros((n + 1, len(row))), np.zeros((n + 1, len(row)))
+            up, down = np.zeros((n + 1, len(row))), np.zeros((n + 1, len(row)))
             alpha[0] = beta[n] = 1
-            for j in range(1, n + 1):
-                for m in range(1, min(j, len(part)) + 1):
-                    alpha[j] += alpha[j - m] * p[m - 1][:, j - m]
-                    beta[n - j] += beta[n - j + m] * p[m - 1][:, n - j]
-            weight = counts[row] / np.maximum(alpha[n], 1e-290)
+            for sums, logs, ends in ((alpha, up, False), (beta, down, True)):
+                for j in range(1, n + 1):
+                    k = n - j if ends else j
+                    reach = range(1, min(j, len(part)) + 1)
+                    sums[k] = sum(sums[k + m] * p[m - 1][:, k] if ends else sums[k - m] * p[m - 1][:, k - m] for m in reach)
+                    before = k + 1 if ends else k - 1
+                    logs[k] = logs[before]
+                    if j % STEPS == 0:
+                        top = np.maximum(sums[k], 1e-290)
+                        logs[k] += np.log(top)
+                        near = slice(k, min(n, k + len(part)) + 1) if ends else slice(max(0, k - len(part)), k + 1)
+                        sums[near] /= top
+                        logs[near] = logs[k]
+            whole = np.maximum(alpha[n], 1e-290)
+            likelihood += float((counts[row] * (np.log(whole) + up[n] - n * np.log(SCALE))).sum())
             for m, s in enumerate(part):
-                use = (alpha[: n - m].T * p[m] * beta[m + 1 :].T * weight[:, None]).ravel()
+                shift = np.exp(np.minimum(up[: n - m] + down[m + 1 :] - up[n], 600.0))
+                use = (alpha[: n - m] * beta[m + 1 :] * shift / whole * counts[row]).T * p[m]
                 at = (s.astype(np.int64) * width + lang[:, None]).ravel()
+                use = use.ravel()
                 live = use > 0
                 out += np.bincount(at[live], use[live], minlength=len(out))
-    return out.reshape(size, width)
+    return out.reshape(size, width), likelihood
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
@@ -177,9 +206,9 @@ def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, path: str, rounds: int = 2, most_langs: int = 1000) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, path: str, rounds: int = ROUNDS, gain: float = GAIN, most_langs: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages and probabilities (pieces x languages and a row of zeros) from all rows of train (text, lang)."""
-    train = train.filter("lang is not null and text is not null")
+    train = train.filter("lang is not null and text is not null").select("text", "lang")
     langs = sorted(r[0] for r in train.select("lang").distinct().limit(most_langs + 1).collect())
     if len(langs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
@@ -187,20 +216,27 @@ def fit(train: DataFrame, path: str, rounds: int = 2, most_langs: int = 1000) ->
         return [], np.zeros((1, 0))
     counts = materialize(word_counts(train, langs), "langid-words")
     size, width = pieces(path).size, len(langs)
-    probs = _normal(np.ones((size + 1, width)))
+    probs, before = _normal(np.ones((size + 1, width))), None
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], probs: np.ndarray = probs) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(probs.shape)
+            total, likelihood = np.zeros(probs.shape), 0.0
             for b in batches:
-                total += expected_counts(b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2).to_numpy().astype(float), path, probs)
+                uses, more = expected_counts(b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2).to_numpy().astype(float), path, probs)
+                total, likelihood = total + uses, likelihood + more
             piece, lang = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+            # piece -1 stands for the log likelihood
+            yield pa.RecordBatch.from_arrays([pa.array([*piece.tolist(), -1], pa.int32()), pa.array([*lang.tolist(), 0], pa.int32()), pa.array([*total[piece, lang].tolist(), likelihood], pa.float64())], ["piece", "lang", "n"])
 
         sums = counts.mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        likelihood = float(sums.loc[sums["piece"] < 0, "n"].sum())
+        sums = sums[sums["piece"] >= 0]
         fresh = np.zeros((size + 1, width))
         fresh[sums["piece"], sums["lang"]] = sums["n"]
         probs = _normal(fresh)
+        if before is not None and likelihood - before < gain * abs(before):
+            break
+        before = likelihood
     return langs, probs
 
 

@@ -61,11 +61,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
 
     # the threshold: all hashes below _low are in, _left words remain for the bucket that starts there
     cut = plan.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_low"), F.col("_rest").alias("_left"))
+    inside = slim
     for shift in range(BITS - STEP, -1, -STEP):
         bucket = F.shiftright("_h", shift)
-        inside = slim.join(cut, F.col("source").eqNullSafe(F.col("_s"))) if shift < BITS - STEP else slim
-        if shift < BITS - STEP:
-            inside = inside.filter(F.shiftright("_h", shift + STEP) == F.shiftright("_low", shift + STEP))
+        if shift < BITS - STEP:  # only what is in the boundary bucket goes on to the next level
+            inside = inside.join(cut, F.col("source").eqNullSafe(F.col("_s"))).filter(F.shiftright("_h", shift + STEP) == F.shiftright("_low", shift + STEP))
+            inside = materialize(inside.select("source", "size", "_h"), "mix-boundary")
         sums = inside.groupBy("source", bucket.alias("_b")).agg(F.sum("size").alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_b"))
         sums = sums.join(cut, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_upto", upto)

@@ -4,7 +4,7 @@ Texts with equal shingle sets form one class. Each class has 64 min-hashes, its
 all classes on sampled tokens: a class goes to one bucket per sampled token, named by its value there.
 Buckets of at most ``limit`` classes are compared by brute force; larger ones are split again on
 tokens of their own, unless their mean similarity is high; those and what is still large at ``depth``
-are compared in pairs of blocks of about 4 * ``limit`` classes, so nothing is left out. Runs are
+are compared in pairs of blocks of about 16 * ``limit`` classes, so nothing is left out. Runs are
 repeated until a pair at the threshold is met with probability ``recall``. A pair is compared only in
 the first bucket its two classes share. Pairs that the min-hashes support are then verified on the
 shingles of the whole texts; only classes that have such a pair are read again.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import materialize, table, text_of
+from fidelis.llm.common import id_keys, materialize, packed_row, table, text_of
 
 TOKENS = 64
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +164,7 @@ def buckets(classes: DataFrame, similarity: float, splits: int, depth: int, reca
     draw = np.random.default_rng(3)
     roots = [(r, int(j)) for r in range(runs_needed(similarity, splits, depth, recall)) for j in draw.choice(TOKENS, splits, replace=False)]
     level = classes.filter("_size > 0").select("_set", "_sig", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(j), _token(j)) for r, j in roots])).alias("_node")).select("_set", "_node")
-    blocks = F.when(F.col("_n") <= limit, 1).otherwise(F.ceil(F.col("_n") / (4 * limit))).cast("int").alias("_blocks")
+    blocks = F.when(F.col("_n") <= limit, 1).otherwise(F.ceil(F.col("_n") / (16 * limit))).cast("int").alias("_blocks")
     done = []
     for d in range(1, depth + 1):
         level = materialize(level, "path-level")
@@ -311,18 +311,10 @@ def links(docs: DataFrame, similarity: float = 0.8, splits: int = 2, depth: int
     wanted = alive.select("_set").distinct().join(known, "_set").select("_set", "_sig", "_nodes", "_n", "_at")
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_x"), text_of(text_col).alias("_t"))
     texts = keyed.join(wanted, keyed["_id"].eqNullSafe(F.col("_at._id")) & (keyed["_x"] == F.col("_at._x"))).select("_set", "_sig", "_nodes", "_n", "_t")
+    texts = texts.dropDuplicates(["_set"])  # rows that repeat id and text came along
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grouped(batches):
-            # rows that repeat id and text came along: one each
-            seen, rows_, previous = set(), [], None
-            for i, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), b.column(4).to_pylist(), strict=True)):
-                if row[:3] != previous:
-                    seen, previous = set(), row[:3]
-                if row[3] not in seen:
-                    seen.add(row[3])
-                    rows_.append(i)
-            b = b.take(pa.array(rows_, pa.int64()))
             left, right = candidate_pairs(b, least)
             if not len(left):
                 continue
@@ -397,7 +389,8 @@ def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose group of connected documents has a smaller id, all columns as they were."""
-    verdict = jaccard_join(docs, similarity, id_col, text_col)
-    lost = materialize(verdict.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_lost"), F.col("_x").alias("_lost_x")).distinct(), "ngram-lost")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")) & (F.xxhash64(text_of(text_col)) == F.col("_lost_x")), "left_anti")
+    """docs without those whose group of connected documents has a smaller id, all columns as they were, whatever their names and types."""
+    verdict = jaccard_join(docs, similarity, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("class_id")))
+    lost = materialize(verdict.select(*id_keys(F.col(id_col), "_v"), F.col("_x").alias("_vx")).distinct(), "ngram-lost")
+    rows = docs.select(packed_row(docs), *id_keys(docs[id_col], "_k"), F.xxhash64(text_of(docs[text_col])).alias("_kx"))
+    return rows.join(lost, (F.col("_k1") == F.col("_v1")) & (F.col("_k2") == F.col("_v2")) & (F.col("_kx") == F.col("_vx")), "left_anti").select("_row.*")

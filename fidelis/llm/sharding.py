@@ -4,7 +4,7 @@ Groups of more than total / (shards * units) bytes are packed as they are; there
 shards * units of those. Smaller groups are first packed into crates of about that size, by the
 task that holds them, largest first: a task holds its open crates only, in a balanced tree of
 remaining capacities, while Spark sorts and spills the rows. What the last packing sees is
-therefore at most 2 * shards * units + (shuffle partitions) items, whatever the input's size. It
+therefore at most 2 * shards * units + ``deals`` items, whatever the input's size; how many partitions Spark shuffles into changes nothing. It
 looks for the smallest capacity with which best fit decreasing needs no more shards than asked
 for. Groups larger than an equal share get a shard of their own, the rest share the others.
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import materialize, partitions, text_of
+from fidelis.llm.common import materialize, text_of
 
 
 class Spaces:
@@ -109,7 +109,7 @@ def pack(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
     return out | {name: first + b for (_, name), b in zip(items, best, strict=True)}
 
 
-def shard(docs: DataFrame, shards: int = 24, units: int = 512, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, units: int = 512, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, deals: int = 4096) -> DataFrame:
     """A row per document: id, size, text_crc32, law, shard, slot, grown_shard. Equal texts share a shard; sizes of shards are near equal."""
     spark = docs.sparkSession
     t = text_of(text_col)
@@ -139,14 +139,14 @@ def shard(docs: DataFrame, shards: int = 24, units: int = 512, id_col: str = "do
             yield pd.DataFrame({"_d": pdf["_d"], "_n": pdf["_n"], "_crate": names})
 
     # _p deals the small groups out by digest, always in the same way
-    dealt = groups.withColumn("_p", F.pmod(F.xxhash64("_d"), F.lit(partitions(spark)))).repartition("_p").sortWithinPartitions("_p", F.desc("_n"), "_d")
+    dealt = groups.withColumn("_p", F.pmod(F.xxhash64("_d"), F.lit(deals))).repartition("_p").sortWithinPartitions("_p", F.desc("_n"), "_d")
     crated = dealt.select("_d", "_n", "_p").mapInPandas(crates, "_d binary, _n long, _crate string")
     crated = materialize(crated.withColumn("_item", F.coalesce("_crate", F.lower(F.hex("_d")))), "shard-crates")
-    # at most 2 * shards * units + partitions rows
+    # at most 2 * shards * units + deals rows
     items = [(r[1], r[0]) for r in crated.groupBy("_item").agg(F.sum("_n")).collect()]
     placed = spark.createDataFrame([(k, v) for k, v in pack(items, shards).items()], "_item string, shard int")
     where = crated.join(placed, "_item").select("_d", "shard")
-    rows = materialize(slim.join(where, "_d").withColumn("_b", F.pmod(F.xxhash64("_id", "_d"), F.lit(partitions(spark) * 4))), "shard-rows")
+    rows = materialize(slim.join(where, "_d").withColumn("_b", F.pmod(F.xxhash64("_id", "_d"), F.lit(deals))), "shard-rows")
     # slots: rows before this bucket, then the place in it, so no shard meets in one task
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")

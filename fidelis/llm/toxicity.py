@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.llm.common import materialize, remainder, table, text_of
+from fidelis.llm.common import materialize, packed_row, remainder, table, text_of
 
 # What signs and digits stand for in disguised words.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -277,21 +277,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, least:
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """id and toxicity (0 to 1) of every whole text; with keep_columns all columns of docs and _toxicity."""
+    """id and score (0 to 1) of every whole text; with keep_columns instead _row, a struct of all columns of docs, and score."""
     curve = model["curve"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, evidence = Restorer(model["costs"]), Evidence(model["weights"])
         for b in batches:
-            top = np.array([strongest(restorer.words(t), evidence) if t else (0.0, 0.0) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, 2)
+            top = np.array([strongest(restorer.words(t), evidence) if t else (0.0, 0.0) for t in b.column(1).to_pylist()]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(top @ curve[:2] + curve[2], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(p)], [*b.schema.names[:-1], "_toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], [b.schema.names[0], "score"])
 
-    if keep_columns:
-        rows = docs.withColumn("_text_", F.col(text_col))
-        return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())]))
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text_")).mapInArrow(run, f"id {kind}, _toxicity double").select(F.col("id").alias(id_col), F.col("_toxicity").alias("score"))
+    first = packed_row(docs) if keep_columns else docs[id_col].alias("_id")
+    slim = docs.select(first, docs[text_col].cast("string").alias("_text"))
+    scored = slim.mapInArrow(run, T.StructType([slim.schema.fields[0], T.StructField("score", T.DoubleType())]))
+    return scored if keep_columns else scored.withColumnRenamed("_id", id_col)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -302,7 +301,5 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those that score at least threshold, all columns as they were."""
-    names = docs.columns
-    scored = score(docs, fit(docs, labels), keep_columns=True)
-    return scored.filter(F.col("_toxicity") < threshold).select(*names)
+    """docs without those that score at least threshold, all columns as they were, whatever their names and types."""
+    return score(docs, fit(docs, labels), keep_columns=True).filter(F.col("score") < threshold).select("_row.*")
