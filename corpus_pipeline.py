@@ -10,8 +10,9 @@ that its predecessor kept:
 4. mixing: each document appears as often as the mix takes it (0 to 3 times); sources come near their targets.
 5. bpe: doc_id, copies (rows of the mix), source, n_tokens, ids (array of token ids), ids_sha256 of each text of the mix.
 
-Nulls, empty and very long texts, repeated rows, empty tables and further columns: see the operators; every stage
-keeps the columns it was given. Stages 1, 3 and 5 learn or search, so SQL cannot express run().
+Nulls, empty and very long texts, repeated rows and empty tables: see the operators. The first four stages keep all columns
+they were given, whatever their names and types; the last returns those listed above alone. Stages 1, 3 and 5 learn or
+search, so SQL cannot express run(); tests/llm holds the stages against brute force on small tables.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm.bpe import encode_corpus
-from fidelis.llm.common import materialize, table
+from fidelis.llm.common import WORD, id_keys, materialize, packed_row, table
 from fidelis.llm.exact_dedup import keep_first_copies
 from fidelis.llm.mixing import mix
 from fidelis.llm.ngram_join import one_of_each
@@ -43,12 +44,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs as often as the mix takes them; documents without words are not taken."""
-    taken = mix(docs).filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    times = materialize(taken.agg((F.max("taken") / F.col("_size")).cast("int").alias("_times")), "mix-times")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    on = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"]) & (size == times["_size"])
-    joined = docs.join(times.filter("_times > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    taken = mix(docs).filter("size > 0").groupBy(*id_keys(F.col("doc_id"), "_v"), *id_keys(F.col("source"), "_w"), F.col("size").alias("_vsize"))
+    times = materialize(taken.agg((F.max("taken") / F.col("_vsize")).cast("int").alias("_times")).filter("_times > 0"), "mix-times")
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(packed_row(docs), *id_keys(docs["doc_id"], "_k"), *id_keys(docs["source"], "_s"), size.alias("_size"))
+    on = (F.col("_k1") == F.col("_v1")) & (F.col("_k2") == F.col("_v2")) & (F.col("_s1") == F.col("_w1")) & (F.col("_s2") == F.col("_w2")) & (F.col("_size") == F.col("_vsize"))
+    return rows.join(times, on).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixing),
     ("bpe", bpe),
 ]
-#: Language models and similarity search stand in the way; tests hold the stages against brute force.
+#: Language models and similarity search stand in the way.
 ORACLE_SQL = None
 
 
