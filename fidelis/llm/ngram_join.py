@@ -354,19 +354,25 @@ def links(docs: DataFrame, similarity: float = 0.8, splits: int = 2, depth: int
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """_v, _label of all ends of edges: the smallest end that is connected. Labels spread to neighbours and then jump to their label's label."""
-    pairs = edges.select(F.col(a).alias("_v"), F.col(b).alias("_u")).filter("_v != _u")
-    both = materialize(pairs.unionByName(pairs.select(F.col("_u").alias("_v"), F.col("_v").alias("_u"))).distinct(), "component-edges")
-    labels = materialize(both.groupBy("_v").agg(F.least(F.min("_u"), F.col("_v")).alias("_label")), "component-labels")
-    while True:
-        near = both.join(labels.select(F.col("_v").alias("_u"), F.col("_label").alias("_l")), "_u").groupBy("_v").agg(F.min("_l").alias("_l"))
-        fresh = labels.join(near, "_v").select("_v", F.least("_label", "_l").alias("_label"), F.col("_label").alias("_old"))
-        jump = fresh.select(F.col("_v").alias("_w"), F.col("_label").alias("_far"))
-        fresh = fresh.join(jump, fresh["_label"] == jump["_w"], "left").select("_v", F.least("_label", F.coalesce("_far", "_label")).alias("_label"), "_old")
-        fresh = materialize(fresh, "component-labels")
-        labels = fresh.select("_v", "_label")
-        if not fresh.filter("_label != _old").limit(1).count():
-            return labels
+    """_v, _label of all ends of edges: the smallest end that is connected.
+
+    Each round ties every end to its smallest neighbour or that one's, and contracts the edges to what was tied together, so there are fewer edges each time."""
+    near = materialize(edges.select(F.col(a).alias("_v"), F.col(b).alias("_u")).filter("_v != _u").distinct(), "component-edges")
+    labels = None
+    while near.limit(1).count():
+        both = near.unionByName(near.select(F.col("_u").alias("_v"), F.col("_v").alias("_u")))
+        tie = materialize(both.groupBy("_v").agg(F.least(F.min("_u"), F.col("_v")).alias("_to")), "component-ties")
+        jump = tie.select(F.col("_v").alias("_w"), F.col("_to").alias("_far"))
+        tie = materialize(tie.join(jump, tie["_to"] == jump["_w"]).select("_v", F.col("_far").alias("_to")), "component-ties")
+        if labels is None:
+            labels = tie.withColumnRenamed("_to", "_label")
+        else:
+            on = tie.select(F.col("_v").alias("_label"), "_to")
+            labels = materialize(labels.join(on, "_label", "left").select("_v", F.coalesce("_to", "_label").alias("_label")), "component-labels")
+        one, two = tie.select("_v", F.col("_to").alias("_p")), tie.select(F.col("_v").alias("_u"), F.col("_to").alias("_q"))
+        near = near.join(one, "_v").join(two, "_u").filter("_p != _q").select(F.least("_p", "_q").alias("_v"), F.greatest("_p", "_q").alias("_u")).distinct()
+        near = materialize(near, "component-edges")
+    return labels if labels is not None else near.select("_v", F.col("_u").alias("_label"))
 
 
 def jaccard_join(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
