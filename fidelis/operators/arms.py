@@ -18,6 +18,11 @@ def donors(cells: DataFrame, user: str = "user_id", cell: str = "cell", seed: in
     return cells.withColumn("donor", F.coalesce(F.lead(user).over(w), first))
 
 
+def matched(cells: DataFrame, user: str = "user_id") -> DataFrame:
+    """cells without users who are alone in their cell: nobody is a look-alike of oneself, and such a user would pull contrasts to 0."""
+    return cells.filter(F.col("donor") != F.col(user))
+
+
 def restrict_donors(cells: DataFrame, eligible: DataFrame, user: str = "user_id", cell: str = "cell", seed: int = 0) -> DataFrame:
     """Donors among the users that remain, in the same rotation: equal to following each donor past those that were dropped."""
     return donors(cells.join(eligible.select(user).distinct(), user, "left_semi"), user, cell, seed)
@@ -40,7 +45,7 @@ def label_rates(rows: DataFrame, by: list[str], label: str, labels: list, laplac
 def arm_scores(rows: DataFrame, cells: DataFrame, label: str, labels: list, user: str = "user_id") -> DataFrame:
     """user, n, A0 to A4: mean held-out surprise of a user's labels under each arm.
 
-    rows: user, t, k, label. cells: user, cell, donor. Rates come from rows with t < k alone. Counts are
+    rows: user, t, k, label. cells: user, cell, donor; users without another one as donor are left out. Rates come from rows with t < k alone. Counts are
     summed per user and label first, so arms join small tables whatever the number of rows."""
     train, held = rows.filter("t < k"), rows.filter("t >= k")
     with_cell = train.join(cells.select(user, "cell"), user)
@@ -52,7 +57,7 @@ def arm_scores(rows: DataFrame, cells: DataFrame, label: str, labels: list, user
     group = label_rates(with_cell, ["cell"], label, labels).withColumnRenamed("p", "a2")
     own = label_rates(train, [user], label, labels)
     counts = held.groupBy(user, label).agg(F.count(F.lit(1)).alias("_h"))
-    j = counts.join(cells.select(user, "cell", "donor"), user).join(F.broadcast(pop), label).join(group, ["cell", label])
+    j = counts.join(matched(cells, user).select(user, "cell", "donor"), user).join(F.broadcast(pop), label).join(group, ["cell", label])
     j = j.join(own.select(F.col(user).alias("donor"), label, F.col("p").alias("a3")), ["donor", label])
     j = j.join(own.select(user, label, F.col("p").alias("a4")), [user, label])
     surprise = lambda p: (F.sum(-F.col("_h") * F.log(p)) / F.sum("_h"))
@@ -62,6 +67,7 @@ def arm_scores(rows: DataFrame, cells: DataFrame, label: str, labels: list, user
     return wide
 
 
+# Contrasts and the arms they compare.
 CONTRASTS = {"dpop": ("A1", "A0"), "dgroup": ("A2", "A1"), "ddistract": ("A3", "A2"), "dindiv": ("A4", "A3"), "total": ("A4", "A0")}
 
 

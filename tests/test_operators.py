@@ -203,3 +203,13 @@ def test_stream_sessions(spark, sf, tmp_path):
     q.stop()
     key = lambda rows: sorted((r["user_id"], r["event_id"], r["session"], r["session_pos"]) for r in rows)
     assert key(spark.table("stream_sessions").collect()) == key(batch.collect())
+
+
+def test_alone_in_a_cell(spark):
+    """The user of a cell of one is in no contrast."""
+    from fidelis.operators import arms
+
+    users = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "user_id long, cell long")
+    assert {r["user_id"] for r in arms.matched(arms.donors(users)).collect()} == {1, 2}
+    rows = spark.createDataFrame([(u, t, 2, "a" if (u + t) % 2 else "b") for u in (1, 2, 3) for t in range(4)], "user_id long, t long, k long, label string")
+    assert {r["user_id"] for r in arms.arm_scores(rows, arms.donors(users), "label", ["a", "b"]).collect()} == {1, 2}
