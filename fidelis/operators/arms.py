@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidelis.operators.settle import ranged, settle
+
 
 def seeded(user: str, seed: int) -> Column:
     """Order key of a user under a seed: the same in any engine with md5."""
@@ -12,10 +16,19 @@ def seeded(user: str, seed: int) -> Column:
 
 
 def donors(cells: DataFrame, user: str = "user_id", cell: str = "cell", seed: int = 0) -> DataFrame:
-    """user, cell, donor: the next user of the cell in seeded order, the last one's is the first; alone in a cell: oneself."""
-    w = Window.partitionBy(cell).orderBy(seeded(user, seed), user)
-    first = F.first(user).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return cells.withColumn("donor", F.coalesce(F.lead(user).over(w), first))
+    """user, cell, donor: the next user of the cell in seeded order, the last one's is the first; alone in a cell: oneself.
+
+    Users lie in ranges of (cell, seeded order); the last one of a range looks into the next range, so no task holds a cell. Edges have one row per range."""
+    names = cells.columns
+    r = ranged(cells.withColumn("_o", seeded(user, seed)), [cell, "_o", user])
+    w = Window.partitionBy("_p").orderBy(cell, "_o", user)
+    r = r.withColumn("_next", F.lead(F.struct(F.col(cell).alias("c"), F.col(user).alias("u"))).over(w))
+    edges = r.groupBy("_p").agg(F.min(F.struct(F.col(cell).alias("c"), "_o", F.col(user).alias("u"))).alias("_f"))
+    edges = edges.select("_p", F.lead("_f").over(Window.orderBy("_p")).alias("_edge"))
+    firsts = r.groupBy(F.col(cell).alias("_c")).agg(F.min(F.struct("_o", F.col(user).alias("u"))).alias("_top"))
+    j = r.join(F.broadcast(edges), "_p").join(firsts, F.col(cell) == F.col("_c"))
+    after = F.coalesce("_next", F.struct(F.col("_edge.c").alias("c"), F.col("_edge.u").alias("u")))
+    return j.withColumn("donor", F.when(after["c"] == F.col(cell), after["u"]).otherwise(F.col("_top.u"))).select(*names, "donor")
 
 
 def matched(cells: DataFrame, user: str = "user_id") -> DataFrame:
@@ -42,29 +55,33 @@ def label_rates(rows: DataFrame, by: list[str], label: str, labels: list, laplac
     return every.join(counts, [*by, label], "left").select(*by, label, ((F.coalesce("_c", F.lit(0)) + laplace) / (F.col("_n") + laplace * len(labels))).alias("p"))
 
 
-def arm_scores(rows: DataFrame, cells: DataFrame, label: str, labels: list, user: str = "user_id") -> DataFrame:
+def user_counts(rows: DataFrame, label: str, labels: list, user: str = "user_id", more: list[Column] | None = None) -> DataFrame:
+    """user, c (training rows per label), h (held-out rows per label), and more aggregates: one row per user from one pass, settled, for all arms read it.
+
+    Labels outside the closed list count in neither."""
+    count = lambda x, where: F.count_if((F.col(label) == x) & where)
+    c = [count(x, F.col("t") < F.col("k")) for x in labels]
+    h = [count(x, F.col("t") >= F.col("k")) for x in labels]
+    return settle(rows.groupBy(user).agg(F.array(*c).alias("c"), F.array(*h).alias("h"), *(more or [])))
+
+
+def arm_scores(counts: DataFrame, cells: DataFrame, labels: list, user: str = "user_id") -> DataFrame:
     """user, n, A0 to A4: mean held-out surprise of a user's labels under each arm.
 
-    rows: user, t, k, label. cells: user, cell, donor; users without another one as donor are left out. Rates come from rows with t < k alone. Counts are
-    summed per user and label first, so arms join small tables whatever the number of rows."""
-    train, held = rows.filter("t < k"), rows.filter("t >= k")
-    with_cell = train.join(cells.select(user, "cell"), user)
-    pooled = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    size = train.agg(F.count(F.lit(1)).alias("_n"))
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(x,) for x in labels], [label])
-    pop = names.join(pooled, label, "left").crossJoin(size).select(label, ((F.coalesce("_c", F.lit(0)) + 1) / (F.col("_n") + len(labels))).alias("a1"))
-    group = label_rates(with_cell, ["cell"], label, labels).withColumnRenamed("p", "a2")
-    own = label_rates(train, [user], label, labels)
-    counts = held.groupBy(user, label).agg(F.count(F.lit(1)).alias("_h"))
-    j = counts.join(matched(cells, user).select(user, "cell", "donor"), user).join(F.broadcast(pop), label).join(group, ["cell", label])
-    j = j.join(own.select(F.col(user).alias("donor"), label, F.col("p").alias("a3")), ["donor", label])
-    j = j.join(own.select(user, label, F.col("p").alias("a4")), [user, label])
-    surprise = lambda p: (F.sum(-F.col("_h") * F.log(p)) / F.sum("_h"))
-    wide = j.groupBy(user).agg(
-        F.sum("_h").alias("n"), surprise(F.lit(1.0 / len(labels))).alias("A0"), surprise(F.col("a1")).alias("A1"), surprise(F.col("a2")).alias("A2"), surprise(F.col("a3")).alias("A3"), surprise(F.col("a4")).alias("A4")
-    )
-    return wide
+    counts: from user_counts. cells: user, cell, donor; users without another one as donor are left out. All arms follow from one row per user:
+    rates of all and of a cell are sums of those rows."""
+    m = len(labels)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    rates = lambda c: F.transform(c, lambda x: (x + 1) / (total(c) + m))
+    sums = F.array(*[F.sum(F.col("c")[i]) for i in range(m)])
+    pop = counts.agg(sums.alias("_s")).select(rates(F.col("_s")).alias("_a1"))
+    with_cell = counts.join(cells.select(user, "cell", "donor"), user)
+    group = with_cell.groupBy("cell").agg(sums.alias("_s")).select(F.col("cell").alias("_g"), rates(F.col("_s")).alias("_a2"))
+    other = counts.select(F.col(user).alias("_d"), rates(F.col("c")).alias("_a3"))
+    j = matched(with_cell, user).filter(total(F.col("h")) > 0).join(group, F.col("cell") == F.col("_g")).join(other, F.col("donor") == F.col("_d")).crossJoin(F.broadcast(pop))  # one row
+    j = j.withColumn("_a4", rates(F.col("c"))).withColumn("n", total(F.col("h")))
+    surprise = lambda p: F.aggregate(F.zip_with("h", p, lambda h, q: -h * F.log(q)), F.lit(0.0), lambda s, x: s + x) / F.col("n")
+    return j.select(user, "n", F.lit(-math.log(1 / m)).alias("A0"), *[surprise(f"_a{i}").alias(f"A{i}") for i in range(1, 5)])
 
 
 # Contrasts and the arms they compare.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidelis.operators.settle import ranged
+
 
 def by_user(user: str, *order: str):
     return Window.partitionBy(user).orderBy(*order)
@@ -52,6 +54,18 @@ def session_split(df: DataFrame, user: str, frac: float = 0.7) -> DataFrame:
     return sizes.join(edge, user, "left").select(user, "n", k.cast("long").alias("k"))
 
 
+def with_split(df: DataFrame, user: str, frac: float = 0.7) -> DataFrame:
+    """Rows with n and k of session_split, by windows that share the partitioning by user: no join, no exchange more."""
+    w = Window.partitionBy(user)
+    half_even = lambda c: F.bround(c, 0).cast("long")
+    d = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_s", F.max("session").over(w) + 1)
+    cut = F.greatest(F.lit(1), F.least(F.col("_s") - 1, half_even(F.lit(frac) * F.col("_s"))))
+    d = d.withColumn("_first", F.min(F.when(F.col("session") == cut, F.col("t"))).over(w))
+    inside = lambda c: F.greatest(F.lit(1), F.least(F.col("n") - 1, c))
+    k = F.when(F.col("n") < 2, F.col("n")).when(F.col("_s") < 2, inside(half_even(F.lit(frac) * F.col("n")))).otherwise(inside(F.col("_first")))
+    return d.withColumn("k", k.cast("long")).drop("_s", "_first")
+
+
 def first_seen_split(df: DataFrame, user: str, session_key: str, frac: float = 0.7) -> DataFrame:
     """user, n, k: rows of the first max(1, round(frac * sessions)) sessions by first appearance; one session: round(frac * n)."""
     seen = df.groupBy(user, session_key).agg(F.min("t").alias("_first"), F.count(F.lit(1)).alias("_rows"))
@@ -69,6 +83,17 @@ def tertile(order: list, n_bins: int = 3, partition: list[str] | None = None) ->
     return F.least(F.lit(n_bins - 1), F.floor(rank * n_bins / F.count(F.lit(1)).over(w))).cast("long")
 
 
+def with_tertile(df: DataFrame, order: list[str], name: str, n_bins: int = 3) -> DataFrame:
+    """Adds least(n_bins - 1, rank * n_bins div n) over all rows in this total order: ranks within ranges plus what stands before them, so no task holds all rows."""
+    r = ranged(df, order)
+    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_rows"))
+    w = Window.orderBy("_p")  # one row per range
+    before = sizes.select("_p", (F.sum("_rows").over(w) - F.col("_rows")).alias("_before"), F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    out = r.withColumn("_rank", rank).join(F.broadcast(before), "_p")
+    return out.withColumn(name, F.least(F.lit(n_bins - 1), F.floor((F.col("_rank") + F.col("_before")) * n_bins / F.col("_all"))).cast("long")).drop("_p", "_rank", "_before", "_all")
+
+
 def first_rows(df: DataFrame, partition: list[str], order: list, n: int = 1) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 

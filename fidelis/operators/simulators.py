@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import lognormal_nll
+from fidelis.operators.settle import settle
 
 
 def lognormal_fit(rows: DataFrame, by: list[str], x: str, least_sigma: float = 0.05) -> DataFrame:
@@ -44,6 +45,7 @@ def fit_logistic(rows: DataFrame, features: list[str], y: str, ridge: float = 1e
     """Coefficients (constant first) by iteratively reweighted least squares. A step is one aggregate of the Gram matrix and gradient: (p + 1)(p + 2) sums."""
     names = [f"_x{i}" for i in range(len(features) + 1)]
     data = rows.select(F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"))
+    data = settle(data)  # every step reads it
     b = np.zeros(len(names))
     for _ in range(most):
         z = sum((F.col(n) * float(v) for n, v in zip(names[1:], b[1:], strict=True)), F.lit(float(b[0])))
@@ -67,15 +69,15 @@ def fit_irt(rows: DataFrame, user: str, item: str, y: str, l2: float = 1e-4, rou
     """Abilities (user, theta) and difficulties (item, b) of a one-parameter model: alternating Newton steps.
 
     Each half step is a join and one aggregate per side on counts per (user, item); parameters stay distributed."""
-    counts = rows.groupBy(F.col(user).alias("_u"), F.col(item).alias("_i")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y)).alias("_c")).persist()
+    counts = rows.groupBy(F.col(user).alias("_u"), F.col(item).alias("_i")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y)).alias("_c"))
+    counts = settle(counts)
     theta = counts.select("_u").distinct().withColumn("theta", F.lit(0.0))
     b = counts.select("_i").distinct().withColumn("b", F.lit(0.0))
     for _ in range(rounds):
         p = 1 / (1 + F.exp(F.col("b") - F.col("theta")))
         j = counts.join(theta, "_u").join(b, "_i").withColumn("_p", p)
         grad, curve = F.sum(F.col("_c") - F.col("_n") * F.col("_p")), F.sum(F.col("_n") * F.col("_p") * (1 - F.col("_p")))
-        theta = j.groupBy("_u").agg((F.first("theta") + (grad - l2 * F.first("theta")) / (curve + l2)).alias("theta")).checkpoint()
+        theta = settle(j.groupBy("_u").agg((F.first("theta") + (grad - l2 * F.first("theta")) / (curve + l2)).alias("theta")))
         j = counts.join(theta, "_u").join(b, "_i").withColumn("_p", p)
-        b = j.groupBy("_i").agg((F.first("b") - (grad + l2 * F.first("b")) / (curve + l2)).alias("b")).checkpoint()
-    counts.unpersist()
+        b = settle(j.groupBy("_i").agg((F.first("b") - (grad + l2 * F.first("b")) / (curve + l2)).alias("b")))
     return theta.withColumnRenamed("_u", user), b.withColumnRenamed("_i", item)

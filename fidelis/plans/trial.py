@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import CHESS_EDGES, bucket, bucket_label, lognormal_bucket_probs, lognormal_nll, logit_nll, softmax
 from fidelis.operators import arms, features, inference, metrics, sessions, simulators
 
 GAP = 21_600.0
+CROSS_BLOCK = 2_000
 LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -27,14 +28,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return e.join(sessions.session_split(e, "user_id"), "user_id")
+    return sessions.with_split(events(spark, sf_dir), "user_id")
+
+
+def scalar() -> Column:
+    return F.percentile(F.when(F.col("t") < F.col("k"), F.col("value")), F.lit(0.5)).alias("scalar")
+
+
+def matched_cells(users: DataFrame) -> DataFrame:
+    """user, scalar, cell, donor: tertiles of the training median of value."""
+    return arms.donors(sessions.with_tertile(users.select("user_id", "scalar"), ["scalar", "user_id"], "cell"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """user, scalar, cell, donor: tertiles of the training median of value; one row per user from here on."""
-    scalar = rows.filter("t < k").groupBy("user_id").agg(F.percentile("value", F.lit(0.5)).alias("scalar"))
-    return arms.donors(scalar.withColumn("cell", sessions.tertile(["scalar", "user_id"])))
+    return matched_cells(rows.groupBy("user_id").agg(scalar()))
 
 
 BASE = f"""
@@ -172,8 +179,8 @@ def live_window_rate(spark, sf_dir):
 
 
 def wide(spark, sf_dir) -> DataFrame:
-    rows = split_rows(spark, sf_dir)
-    return arms.arm_scores(rows.withColumnRenamed("event_type", "label"), cells(rows), "label", LABELS)
+    c = arms.user_counts(split_rows(spark, sf_dir), "event_type", LABELS, more=[scalar()])
+    return arms.arm_scores(c, matched_cells(c), LABELS)
 
 
 def arms_marginal(spark, sf_dir):
@@ -306,13 +313,17 @@ SELECT user_id, donor, round(distance, 5) AS distance FROM (SELECT *, row_number
 
 
 def cross_scores(spark, sf_dir) -> DataFrame:
-    """user, cell, donor, nll: held-out surprise of a user's labels under the rates of every user of the cell. Counts per user and label are joined, five rows a user."""
-    rows = split_rows(spark, sf_dir)
-    c = cells(rows).select("user_id", "cell")
-    own = arms.label_rates(rows.filter("t < k"), ["user_id"], "event_type", LABELS).join(c, "user_id").groupBy("cell", F.col("user_id").alias("donor")).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "p"))).alias("_p"))
-    held = rows.filter("t >= k").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("_h")).join(c, "user_id").groupBy("cell", "user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "_h"))).alias("_c"))
-    score = F.aggregate("_c", F.lit(0.0), lambda s, x: s - x["_h"] * F.log(F.element_at(F.col("_p"), x["event_type"]))) / F.aggregate("_c", F.lit(0).cast("long"), lambda s, x: s + x["_h"])
-    return held.join(own, "cell").select("user_id", "cell", "donor", score.alias("nll"))
+    """user, cell, donor, nll: held-out surprise of a user's labels under the rates of every user of the cell. One row of counts a user; both sides of a cell
+    are cut into blocks that grow in number with the users, so that no task holds a cell."""
+    counts = arms.user_counts(split_rows(spark, sf_dir), "event_type", LABELS, more=[scalar()])
+    both = counts.join(matched_cells(counts).select("user_id", "cell"), "user_id")
+    n = -(-counts.count() // CROSS_BLOCK)
+    block, every = F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int"), F.sequence(F.lit(0), F.lit(n - 1))
+    size = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x) + len(LABELS)
+    held = both.filter("exists(h, x -> x > 0)").select("user_id", "cell", "h", block.alias("_x")).withColumn("_y", F.explode(every))
+    own = both.select(F.col("user_id").alias("donor"), "cell", F.transform("c", lambda x: F.log((x + 1) / size)).alias("_l"), block.alias("_y")).withColumn("_x", F.explode(every))
+    score = F.aggregate(F.zip_with("h", "_l", lambda h, q: -h * q), F.lit(0.0), lambda s, x: s + x) / F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + x)
+    return held.join(own, ["cell", "_x", "_y"]).select("user_id", "cell", "donor", score.alias("nll"))
 
 
 CROSS = ARMS + """,

@@ -212,4 +212,4 @@ def test_alone_in_a_cell(spark):
     users = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "user_id long, cell long")
     assert {r["user_id"] for r in arms.matched(arms.donors(users)).collect()} == {1, 2}
     rows = spark.createDataFrame([(u, t, 2, "a" if (u + t) % 2 else "b") for u in (1, 2, 3) for t in range(4)], "user_id long, t long, k long, label string")
-    assert {r["user_id"] for r in arms.arm_scores(rows, arms.donors(users), "label", ["a", "b"]).collect()} == {1, 2}
+    assert {r["user_id"] for r in arms.arm_scores(arms.user_counts(rows, "label", ["a", "b"]), arms.donors(users), ["a", "b"]).collect()} == {1, 2}
