@@ -1,6 +1,6 @@
 """Registered queries of the audit engine and the SQL they are held against."""
 
-from fidelis.plans import chat, trial
+from fidelis.plans import audit, chat, trial
 
-QUERIES = {**trial.QUERIES, **chat.QUERIES}
-ORACLE_SQL = {**trial.ORACLE_SQL, **chat.ORACLE_SQL}
+QUERIES = {**trial.QUERIES, **chat.QUERIES, **audit.QUERIES}
+ORACLE_SQL = {**trial.ORACLE_SQL, **chat.ORACLE_SQL, **audit.ORACLE_SQL}

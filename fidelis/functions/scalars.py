@@ -136,3 +136,18 @@ def map_top(dist: str | Column, k: int) -> Column:
     """The k entries of largest value; equal values by key."""
     ordered = F.array_sort(F.map_entries(col(dist)), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
     return F.slice(ordered, 1, k)
+
+
+def duration(spent: str | Column) -> Column:
+    """Seconds of a game from its plies' times: unknown ones count as 0, no plies are 0."""
+    return F.coalesce(F.aggregate(col(spent), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.lit(0.0))
+
+
+def in_trouble(remaining: str | Column, least: float = 10.0) -> Column:
+    """Whether at most `least` seconds are left; an unknown clock is no trouble."""
+    return F.coalesce(col(remaining) <= least, F.lit(False))
+
+
+def scramble(clocks: str | Column, least: float = 10.0) -> Column:
+    """Whether any of a side's clocks before its plies is in trouble."""
+    return F.coalesce(F.exists(col(clocks), lambda x: in_trouble(x, least)), F.lit(False))

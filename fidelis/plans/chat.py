@@ -277,4 +277,23 @@ kn AS (SELECT x.event_id, x.user_id, x.t, max(k.n) AS n FROM x LEFT JOIN k ON k.
 p AS (SELECT kn.event_id, avg(k.dwell) AS pause FROM kn JOIN k ON k.user_id = kn.user_id AND k.n <= kn.n AND k.n > kn.n - 5 GROUP BY 1)
 SELECT x.event_id, t, round(least(1, place / 30.0)::DOUBLE, 6) AS s_place, round(coalesce(sum(CASE WHEN click THEN 1 ELSE 0 END) OVER w, 0) / greatest(t, 1), 6) AS s_clicks, round(coalesce(sum(CASE WHEN search THEN 1 ELSE 0 END) OVER w, 0) / greatest(t, 1), 6) AS s_searches, round(least(1, coalesce(pause, 0) / 60), 6) AS s_pause
 FROM x LEFT JOIN p USING (event_id) WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "card_fill": """WITH RECURSIVE c AS (SELECT conv_id, turn, CAST(len(string_split(text, ' ')) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, turn, n, i, n <= 100 AS taken, 100 - CASE WHEN n <= 100 THEN n ELSE 0 END AS rest FROM c WHERE i = 1
+  UNION ALL SELECT c.conv_id, c.turn, c.n, c.i, f.rest >= 40 AND c.n <= f.rest, f.rest - CASE WHEN f.rest >= 40 AND c.n <= f.rest THEN c.n ELSE 0 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
+SELECT conv_id, turn, n FROM f WHERE taken""",
+    "greedy_dedup": """WITH RECURSIVE e AS (SELECT vec_id, label, vec_id % 40 AS txt, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(v, v)) AS nrm FROM e),
+p AS (SELECT a.vec_id, list(b.vec_id) FILTER (WHERE a.txt = b.txt) AS same, list(b.vec_id) FILTER (WHERE a.txt <> b.txt AND list_dot_product(a.v, b.v) / (a.nrm * b.nrm) >= 0.9 AND 1 / 3.0 >= 0.75) AS near
+      FROM u AS a JOIN u AS b ON a.label = b.label AND b.i < a.i GROUP BY a.vec_id),
+q AS (SELECT e.vec_id, e.label, e.i, coalesce(p.same, []) AS same, coalesce(p.near, []) AS near FROM e LEFT JOIN p USING (vec_id)),
+w AS (SELECT vec_id, label, i, [vec_id] AS kept, 'kept' AS verdict FROM q WHERE i = 1
+  UNION ALL SELECT q.vec_id, q.label, q.i, CASE WHEN list_has_any(w.kept, q.same) OR list_has_any(w.kept, q.near) THEN w.kept ELSE list_append(w.kept, q.vec_id) END, CASE WHEN list_has_any(w.kept, q.same) THEN 'exact' WHEN list_has_any(w.kept, q.near) THEN 'near' ELSE 'kept' END
+  FROM w JOIN q ON q.label = w.label AND q.i = w.i + 1)
+SELECT vec_id, label, verdict FROM w""",
+    "online_clusters": """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+w AS (SELECT vec_id, label, i, [v] AS sums, 0::BIGINT AS cluster FROM e WHERE i = 1
+  UNION ALL SELECT vec_id, label, i, CASE WHEN best < 0.5 THEN list_append(sums, v) ELSE list_transform(sums, lambda s, k: CASE WHEN k = pos THEN list_transform(s, lambda x, d: x + v[d]) ELSE s END) END, CASE WHEN best < 0.5 THEN len(sums) ELSE pos - 1 END
+  FROM (SELECT vec_id, label, i, sums, v, list_max(cs) AS best, list_position(cs, list_max(cs)) AS pos
+        FROM (SELECT e.vec_id, e.label, e.i, w.sums, e.v, list_transform(w.sums, lambda s: list_dot_product(s, e.v) / sqrt(list_dot_product(s, s))) AS cs FROM w JOIN e ON e.label = w.label AND e.i = w.i + 1) AS a) AS b)
+SELECT vec_id, label, cluster FROM w""",
 }

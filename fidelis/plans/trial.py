@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import CHESS_EDGES, bucket, bucket_label, lognormal_bucket_probs, lognormal_nll, logit_nll, softmax
 from fidelis.operators import arms, features, inference, metrics, sessions, simulators
+from fidelis.operators.settle import settle
 
 GAP = 21_600.0
 CROSS_BLOCK = 2_000
@@ -108,8 +109,9 @@ def donor_map(spark, sf_dir):
 
 
 def donor_restricted(spark, sf_dir):
-    c = cells(split_rows(spark, sf_dir)).select("user_id", "cell")
-    return arms.restrict_donors(c, c.filter(F.crc32(F.col("user_id").cast("string").cast("binary")) % 7 != 0))
+    """Donors among users who buy in their held-out rows."""
+    rows = split_rows(spark, sf_dir)
+    return arms.restrict_donors(cells(rows).select("user_id", "cell"), rows.filter("t >= k and event_type = 'purchase'").select("user_id").distinct())
 
 
 def history_features(spark, sf_dir):
@@ -296,11 +298,12 @@ f AS (SELECT fa.*, fb.h, fb.top FROM fa JOIN (SELECT user_id, -sum(p * ln(p)) AS
 
 def nearest_imposter(spark, sf_dir):
     """The nearest other user of the cell in z-scored features."""
-    f = user_features(spark, sf_dir)
+    f = settle(user_features(spark, sf_dir))  # one row a user, read by the statistics and by both sides
     names = ["ln_n", "m", "s", "h", "top"]
     stats = f.agg(*[F.avg(c).alias(f"{c}_m") for c in names], *[F.stddev_pop(c).alias(f"{c}_s") for c in names])
     z = f.crossJoin(stats).select("user_id", F.array(*[(F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") < 1e-12, 1.0).otherwise(F.col(f"{c}_s")) for c in names]).alias("v"))
     z = z.join(cells(split_rows(spark, sf_dir)).select("user_id", "cell"), "user_id")
+    z = settle(z)
     near = metrics.nearest(z, z, "user_id", "v", k=1, cell="cell")
     return near.select("user_id", F.col("neighbour").alias("donor"), F.round("distance", 5).alias("distance"))
 
@@ -402,7 +405,25 @@ QUERIES = {f.__name__: f for f in (
 HIST = """h AS (SELECT *, CASE WHEN event_type = 'error' THEN t END AS lost, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN 0 END AS won FROM d),
 hf AS (SELECT event_id, user_id, t, coalesce(greatest(0, 1 - (t - 1 - max(lost) OVER p) / 3.0), 0) AS post_loss, least(1, session_pos / 20.0) AS fatigue, coalesce((avg(won) OVER p5 - 0.5) * 2, 0) AS momentum FROM h
        WINDOW p AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p5 AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"""
+# Published coefficients of the rational approximation of the normal distribution.
+PHI = "CASE WHEN {z} >= 0 THEN 1 - {t} ELSE {t} END"
+TAIL = "exp(-{z} * {z} / 2) / sqrt(2 * pi()) * ({k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429)))))"
+
+
+def phi(z: str) -> str:
+    return PHI.format(z=z, t=TAIL.format(z=z, k=f"(1 / (1 + 0.2316419 * abs({z})))"))
+
+
+TIMING_SQL = f"""WITH {SPLIT},
+x AS (SELECT *, (start - lag(start) OVER (PARTITION BY user_id ORDER BY t)) / 3600 AS hours FROM r),
+ft AS (SELECT user_id, avg(ln(greatest(hours, 1e-3))) AS mu, greatest(stddev_pop(ln(greatest(hours, 1e-3))), 0.05) AS sigma FROM x WHERE t < k AND hours IS NOT NULL GROUP BY user_id),
+zs AS (SELECT user_id, (ln(1::DOUBLE) - mu) / sigma AS z1, (ln(3::DOUBLE) - mu) / sigma AS z2, (ln(8::DOUBLE) - mu) / sigma AS z3, (ln(20::DOUBLE) - mu) / sigma AS z4 FROM ft),
+cd AS (SELECT user_id, {phi("z1")} AS c1, {phi("z2")} AS c2, {phi("z3")} AS c3, {phi("z4")} AS c4 FROM zs),
+ps AS (SELECT user_id, unnest([0, 1, 2, 3, 4]) AS bucket, unnest([greatest(0, c1), greatest(0, c2 - c1), greatest(0, c3 - c2), greatest(0, c4 - c3), greatest(0, 1 - c4)]) AS p FROM cd)
+SELECT user_id, bucket, round(p, 4) AS p FROM ps"""
 ORACLE_SQL = {
+    "timing_buckets": TIMING_SQL,
+    "donor_restricted": f"WITH {CELLS}, el AS (SELECT c.user_id, c.cell FROM c WHERE user_id IN (SELECT user_id FROM r WHERE t >= k AND event_type = 'purchase')) SELECT user_id, cell, coalesce(lead(user_id) OVER w, first_value(user_id) OVER w) AS donor FROM el WINDOW w AS (PARTITION BY cell ORDER BY md5('0|' || user_id), user_id)",
     "sessions_events": f"WITH {BASE} SELECT event_id, user_id, t, session, session_pos FROM d",
     "player_stats_events": f"WITH {BASE} SELECT user_id, count(*) AS n_games, count(DISTINCT session) AS n_sessions, round(CASE WHEN count(start) >= 2 THEN (max(start) - min(start)) / 86400 ELSE 0 END, 6) AS span_days FROM d GROUP BY user_id HAVING count(*) >= 50 AND count(DISTINCT session) >= 3",
     "split_session_edge": f"WITH {SPLIT} SELECT user_id, n, k FROM k",

@@ -50,3 +50,10 @@ def observed_counts(df: DataFrame, name: str, **conditions) -> tuple[DataFrame,
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen
+
+
+def write_samples(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Samples as lines of JSON, compressed; one line per key (row, arm, number of the sample): a repeated key is an error and nothing is written."""
+    if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"repeated {', '.join(keys)}")
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
