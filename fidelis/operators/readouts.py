@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import softmax
-from fidelis.operators.inference import bootstrap_ci, two_afc
+from fidelis.operators.inference import bootstrap_ci, interval, resampled, two_afc
 
 # Parts of a judgement, and the shares that decide a readout.
 DIMENSIONS = ("persona_affect", "linguistic_style", "tech_competency", "interaction_flow", "pacing")
@@ -106,21 +104,21 @@ def option_user_totals(options: DataFrame, arm: str = "arm", user: str = "player
     return e.groupBy(user, arm, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("hits"), F.count_if(F.col("label") == F.col("label_idx")).alias("n_label"), F.sum("_p").alias("p_sum"))
 
 
-def pooled_gains(totals: DataFrame, better: str, worse: str, arm: str = "arm", user: str = "player", n_resamples: int = 2000, seed: int = 0) -> pd.DataFrame:
-    """Accuracy and total-variation gain of arm `better` over `worse` with percentile intervals: one row of totals per user, arm and label is resampled by user weights."""
-    pdf = totals.filter(F.col(arm).isin(better, worse)).toPandas()
-    users, labels = sorted(pdf[user].unique()), sorted(pdf["label"].unique())
-    rng = np.random.default_rng(seed)
-    draws = rng.integers(0, len(users), (n_resamples, len(users)))
-    w = np.concatenate([np.ones((1, len(users))), np.stack([np.bincount(d, minlength=len(users)) for d in draws])])
-    out = {}
-    for a in (better, worse):
-        part = pdf[pdf[arm] == a].set_index([user, "label"]).reindex(pd.MultiIndex.from_product([users, labels], names=[user, "label"])).fillna(0)
-        grid = {c: w @ part[c].to_numpy().reshape(len(users), len(labels)) for c in ("n", "hits", "n_label", "p_sum")}
-        rows = grid["n"].mean(1)
-        out[a] = (grid["hits"].mean(1) / rows, 0.5 * np.abs(grid["n_label"] / rows[:, None] - grid["p_sum"] / rows[:, None]).sum(1))
-    gains = {"accuracy": out[better][0] - out[worse][0], "tvd": out[worse][1] - out[better][1]}
-    return pd.DataFrame([(k, g[0], *np.percentile(g[1:], [2.5, 97.5])) for k, g in gains.items()], columns=["metric", "point", "low", "high"])
+def pooled_gains(totals: DataFrame, better: str, worse: str, arm: str = "arm", user: str = "player", n_resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """metric, point, low, high: accuracy and total-variation gain of arm `better` over `worse`. A user is one row of totals per arm and label, and is resampled
+    whole; labels (a closed list) are read by the driver. A user without an arm counts 0 there."""
+    labels, parts = sorted(r[0] for r in totals.select("label").distinct().collect()), ("n", "hits", "n_label", "p_sum")
+    name = lambda a, x, c: f"_{(worse, better).index(a)}_{x}_{c}"
+    at = {name(a, x, c): F.coalesce(F.sum(F.when((F.col(arm) == a) & (F.col("label") == x), F.col(c))), F.lit(0)).cast("double") for a in (better, worse) for x in labels for c in parts}
+    users = totals.filter(F.col(arm).isin(better, worse)).groupBy(user).agg(*[v.alias(k) for k, v in at.items()]).withColumn("_all", F.lit(1))
+    m = resampled(users, ["_all"], list(at), n_resamples, seed)
+    total = lambda a, c: sum((F.col(name(a, x, c)) for x in labels), F.lit(0.0))
+    accuracy = lambda a: F.try_divide(total(a, "hits"), total(a, "n"))
+    tvd = lambda a: F.try_divide(sum((F.abs(F.col(name(a, x, "n_label")) - F.col(name(a, x, "p_sum"))) for x in labels), F.lit(0.0)) * len(labels) / 2, total(a, "n"))
+    gains = F.array(F.struct(F.lit("accuracy").alias("metric"), (accuracy(better) - accuracy(worse)).alias("_g")), F.struct(F.lit("tvd").alias("metric"), (tvd(worse) - tvd(better)).alias("_g")))
+    each = m.select("_draw", F.explode(gains).alias("_x")).select("_draw", "_x.*")
+    got = each.groupBy("metric").agg(F.max(F.when(F.col("_draw") == 0, F.col("_g"))).alias("point"), interval("_g").alias("_i"))
+    return got.select("metric", "point", F.col("_i")[0].alias("low"), F.col("_i")[1].alias("high"))
 
 
 def marginal_residual(model: DataFrame, marginal: DataFrame, user: str = "player") -> DataFrame:

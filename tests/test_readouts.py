@@ -55,9 +55,12 @@ def test_arms_and_pairs(spark):
 def test_pooled_gains(spark):
     rows = [(u, arm, y, [2.0, 0.0] if (arm == "A4") == (y == 0) else [0.0, 2.0]) for u in range(20) for arm in ("A3", "A4") for y in (0, 0, 1)]
     df = spark.createDataFrame(rows, "player int, arm string, label_idx int, logp array<double>")
-    got = readouts.pooled_gains(readouts.option_user_totals(df), "A4", "A3", n_resamples=50).set_index("metric")
+    got = readouts.pooled_gains(readouts.option_user_totals(df), "A4", "A3", n_resamples=50).toPandas().set_index("metric")
     assert got.loc["accuracy", "point"] == pytest.approx(1.0)
     assert got.loc["accuracy", "low"] == pytest.approx(1.0)
+    right = 1 / (1 + np.exp(-2))
+    share = {"A4": (2 * right + 1 - right) / 3, "A3": (2 * (1 - right) + right) / 3}  # of the first label; its true share is 2 / 3
+    assert got.loc["tvd", "point"] == pytest.approx(abs(2 / 3 - share["A3"]) - abs(2 / 3 - share["A4"]))
 
 
 def test_coverage(spark):
