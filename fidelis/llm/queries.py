@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm.bpe import op9_bpe
+from fidelis.llm.centroids import OP11_SQL, op11_centroids
 from fidelis.llm.common import materialize, table
+from fidelis.llm.html_text import op13_html_text
 from fidelis.llm.langid import op5_language_id
 from fidelis.llm.ngram_join import op8_ngram_join
 from fidelis.llm.passages import op10_passages
@@ -113,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
+    "op11_centroids": op11_centroids,
+    "op13_html_text": op13_html_text,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_centroids": OP11_SQL}
