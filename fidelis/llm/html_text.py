@@ -54,7 +54,7 @@ OF_ARTICLE = frozenset("article content entry page post story".split())
 _RAW = "script|style|title|textarea|iframe|noframes|xmp"
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<({_RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)|<[/a-zA-Z][^>]*+\Z""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)

@@ -14,6 +14,7 @@ from fidelis.llm.html_text import op13_html_text
 from fidelis.llm.langid import op5_language_id
 from fidelis.llm.ngram_join import op8_ngram_join
 from fidelis.llm.passages import op10_passages
+from fidelis.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from fidelis.llm.toxicity import op2_toxicity
 
 
@@ -116,7 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
     "op11_centroids": op11_centroids,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_html_text": op13_html_text,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_centroids": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_centroids": OP11_SQL, "op12_prefix_trie": OP12_SQL}
