@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from fidelis.operators import sessions
 from fidelis.sources import readers
+from fidelis.sources.archives import archive_games
 
 
 def ingest(spark: SparkSession, archive: str, out: str, speed: str = "blitz", min_games: int = 50, min_sessions: int = 3, max_players: int | None = None, gap: float = 1800.0, max_games: int | None = None) -> dict:
-    """Two passes: headers choose the cohort, then only its games are read move by move. Writes decisions and manifest; returns the manifest."""
-    games = readers.game_headers(readers.pgn_games(spark, archive)).filter(F.col("speed") == speed)
+    """Two passes over the archive's ranges: headers choose the cohort, then only its games are read move by move. Writes decisions
+    and manifest; returns the manifest. Other speeds, and in pass two other players where max_players bounds their list, do not
+    leave the reader."""
+    games = readers.game_headers(archive_games(spark, archive, speed).select("block")).filter(F.col("speed") == speed)
     seen = readers.real_players(readers.both_players(games.drop("block")))
     timed = sessions.decisions(seen, "player", ["utc_start", "white", "black"])
     stats = sessions.player_stats(sessions.with_sessions(timed, "player", "utc_start", gap), "player", "utc_start")
     cohort = stats.filter((F.col("n_games") >= min_games) & (F.col("n_sessions") >= min_sessions))
     if max_players is not None:
-        cohort = cohort.orderBy(F.desc("n_games"), "player").limit(max_players)
+        names = [r["player"] for r in cohort.orderBy(F.desc("n_games"), "player").limit(max_players).select("player").collect()]
+        cohort = spark.createDataFrame([(n,) for n in names], "player string")
+        if names and not any("," in n for n in names):
+            games = readers.game_headers(archive_games(spark, archive, speed, names).select("block"))
     write = decisions(games, cohort, gap, max_games)
     write.write.mode("error").partitionBy("speed").parquet(f"{out}/decisions")
     back = spark.read.parquet(f"{out}/decisions")
