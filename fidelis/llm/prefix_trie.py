@@ -85,6 +85,7 @@ def sorted_turns(conversations: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["p", "conv", "pos", "name", "digest", "words", "leads", "first"])
 
     order = ["conv", "turn", "digest"]
+    slim = materialize(slim, "slim-turns")  # the sort reads its rows twice, texts are read once
     dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("p"), "conv", "digest", "words")
     rows = materialize(dealt.mapInArrow(scan, "p int, conv long, pos long, name binary, digest binary, words long, leads boolean, first long"), "turns")
     # what stands before each range of its first conversation: at most one row per range
