@@ -46,15 +46,6 @@ def remap(df: DataFrame, mapping: DataFrame, user: str, donor: str = "donor") ->
     return df.join(mapping.select(user, donor), user, "left").withColumn(donor, F.coalesce(donor, user))
 
 
-def label_rates(rows: DataFrame, by: list[str], label: str, labels: list, laplace: float = 1.0) -> DataFrame:
-    """by, label, p: Laplace rates of each label of a closed list."""
-    spark = rows.sparkSession
-    counts = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_c"))
-    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    every = total.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in labels], [label])))
-    return every.join(counts, [*by, label], "left").select(*by, label, ((F.coalesce("_c", F.lit(0)) + laplace) / (F.col("_n") + laplace * len(labels))).alias("p"))
-
-
 def user_counts(rows: DataFrame, label: str, labels: list, user: str = "user_id", more: list[Column] | None = None) -> DataFrame:
     """user, c (training rows per label), h (held-out rows per label), and more aggregates: one row per user from one pass, settled, for all arms read it.
 

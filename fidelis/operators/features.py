@@ -56,7 +56,7 @@ def memory_row(df: DataFrame, user: str, order: list[str], y: str, difficulty: s
         F.coalesce(F.avg("_y").over(prior), F.lit(0.5)).alias("f_mean"),
         "f_ewma",
         F.coalesce(F.avg("_y").over(before(user, order, 10)), F.lit(0.5)).alias("f_last10"),
-        F.coalesce(F.lag("_y").over(w), F.lit(0.5)).alias("f_lag"),
+        F.coalesce(F.lag("_y").over(w), F.lit(0.0)).alias("f_lag"),
         F.tanh(F.coalesce(F.lag("_streak").over(w), F.lit(0)) / 5).alias("f_streak"),
         F.coalesce(F.avg("_res").over(prior), F.lit(0.0)).alias("f_res_mean"),
         "f_res_ewma",
@@ -96,12 +96,6 @@ def running_row(df: DataFrame, user: str, order: list[str], x: str, quick: float
     )
 
 
-def ema_state(df: DataFrame, user: str, order: list[str], x: str, keep: float = 0.6) -> DataFrame:
-    """Adds z: state after each row, z <- keep * z + (1 - keep) * x from 0, as a fold over the last 80 rows (what is older weighs below 1e-17)."""
-    last = F.collect_list(F.col(x).cast("double")).over(by_user(user, *order).rowsBetween(-80, 0))
-    return df.withColumn("z", F.aggregate(last, F.lit(0.0), lambda z, v: keep * z + (1 - keep) * v))
-
-
 def live_window_rate(df: DataFrame, user: str, order: list[str], y: str, n: int = 40) -> DataFrame:
     """Adds live_p: Laplace rate over the last n rows before, across the split."""
     w = before(user, order, n)

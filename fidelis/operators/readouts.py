@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import softmax
-from fidelis.operators.inference import bootstrap_ci, interval, resampled, two_afc
+from fidelis.operators.inference import bootstrap_ci, interval, resampled
 
 # Parts of a judgement, and the shares that decide a readout.
 DIMENSIONS = ("persona_affect", "linguistic_style", "tech_competency", "interaction_flow", "pacing")
@@ -27,14 +27,6 @@ def user_arms(scores: DataFrame, arms: list[str], combo: str = "combo", user: st
     return wide.dropna(subset=arms)
 
 
-def content_readout(content: DataFrame) -> DataFrame:
-    """sim, contrast, interval over users of D_A4 - D_A3, and of the forced choice between them. content: sim, user_id, D_A3, D_A4."""
-    rows = content.select("sim", "user_id", (F.col("D_A4") - F.col("D_A3")).alias("delta"), two_afc("D_A4", "D_A3").alias("afc"))
-    users = rows.groupBy("sim", "user_id").agg(F.avg("delta").alias("delta"), F.avg("afc").alias("afc"))
-    long = users.select("sim", F.explode(F.array(F.struct(F.lit("delta").alias("contrast"), F.col("delta").alias("v")), F.struct(F.lit("afc").alias("contrast"), F.col("afc").alias("v")))).alias("x")).select("sim", "x.*")
-    return bootstrap_ci(long, ["sim", "contrast"], "v", n_resamples=10_000)
-
-
 def pair_readout(users: DataFrame, selector: DataFrame, n_resamples: int = 10_000) -> DataFrame:
     """left, right, resolvable, agreement for all pairs of simulators. users: sim, user_id, delta; selector: sim, score.
 
@@ -91,11 +83,6 @@ def form_histogram(samples: DataFrame, by: list[str], label: str, labels: list)
     return samples.groupBy(*by).agg(*[((F.count_if(F.col(label) == x) + 0.5) / (F.count(F.lit(1)) + 0.5 * len(labels))).alias(f"p_{x}") for x in labels])
 
 
-def digest_of(df: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
-    """by and a digest that does not depend on row order: equal digests mean that rows can be joined one to one."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(keys)}))").alias("digest"), F.sum(F.pmod(F.xxhash64(*keys), F.lit(1_000_003))).alias("check"))
-
-
 def option_user_totals(options: DataFrame, arm: str = "arm", user: str = "player") -> DataFrame:
     """Per user, arm and label: n rows, right answers, label count and summed probability: all that a weighted resample needs. options: logp array, label_idx."""
     p = softmax("logp")
@@ -141,20 +128,3 @@ def gains_table(ci: DataFrame) -> DataFrame:
 def report_intervals(ci: DataFrame) -> DataFrame:
     """Gains for reports: signs turned, interval ends exchanged."""
     return ci.select(*[c for c in ci.columns if c not in ("point", "low", "high")], (-F.col("point")).alias("point"), (-F.col("high")).alias("low"), (-F.col("low")).alias("high"))
-
-
-def known_signal(rows: DataFrame, person: str = "persona_id") -> DataFrame:
-    """Per-person accuracy of arm A4 less A3 on persons with both, with an interval and the share of answers that parse."""
-    r = rows.filter(F.col("arm").isin("A3", "A4")).withColumn("_right", F.when(F.col("predicted").isNotNull(), (F.col("predicted") == F.col("correct_answer")).cast("double")))
-    valid = rows.agg(F.avg(F.col("predicted").isNotNull().cast("double")).alias("valid_rate"))
-    wide = r.groupBy(person).pivot("arm", ["A3", "A4"]).agg(F.avg("_right")).dropna()
-    ci = bootstrap_ci(wide.select(F.lit("identity").alias("contrast"), (F.col("A4") - F.col("A3")).alias("v")), ["contrast"], "v")
-    return ci.crossJoin(F.broadcast(valid)).withColumn("passes", (F.col("valid_rate") >= 0.95) & (F.col("low") > 0))
-
-
-def matcher_hierarchy(differences: DataFrame, combo: str, matcher: str, value: str) -> DataFrame:
-    """Per combination the number of matchers whose interval favours the user's own information."""
-    ci = bootstrap_ci(differences, [combo, matcher], value)
-    return ci.groupBy(combo).agg(F.count(F.lit(1)).alias("matchers"), F.count_if(F.col("high") < 0).alias("favourable"))
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import lognormal_nll
+from fidelis.operators.arms import matched
 from fidelis.operators.settle import settle
 
 
@@ -17,7 +18,8 @@ def lognormal_fit(rows: DataFrame, by: list[str], x: str, least_sigma: float = 0
 
 
 def lognormal_marginal(rows: DataFrame, cells: DataFrame, x: str, user: str = "user_id") -> DataFrame:
-    """user, n, own, other: mean held-out surprise under the user's and the donor's fit of rows with t < k."""
+    """user, n, own, other: mean held-out surprise under the user's and the donor's fit of rows with t < k. Users without another one as donor are left out."""
+    cells = matched(cells, user)
     fit = lognormal_fit(rows.filter("t < k"), [user], x)
     held = rows.filter((F.col("t") >= F.col("k")) & F.col(x).isNotNull()).join(cells.select(user, "donor"), user)
     j = held.join(fit, user).join(fit.select(F.col(user).alias("donor"), F.col("mu").alias("mu_d"), F.col("sigma").alias("sigma_d")), "donor")
@@ -25,7 +27,8 @@ def lognormal_marginal(rows: DataFrame, cells: DataFrame, x: str, user: str = "u
 
 
 def bernoulli_marginal(rows: DataFrame, cells: DataFrame, y: str, user: str = "user_id") -> DataFrame:
-    """user, n, own, other: Laplace rates (c + 1) / (n + 2) of rows with t < k."""
+    """user, n, own, other: Laplace rates (c + 1) / (n + 2) of rows with t < k. Users without another one as donor are left out."""
+    cells = matched(cells, user)
     p = rows.filter("t < k").groupBy(user).agg(((F.sum(y) + 1) / (F.count(y) + 2)).alias("p"))
     held = rows.filter("t >= k").groupBy(user).agg(F.sum(y).alias("_c"), F.count(y).alias("n")).join(cells.select(user, "donor"), user)
     j = held.join(p, user).join(p.select(F.col(user).alias("donor"), F.col("p").alias("p_d")), "donor")

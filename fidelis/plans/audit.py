@@ -200,7 +200,7 @@ FROM j JOIN gr ON gr.cell = j.cell JOIN k AS dk ON dk.user_id = j.donor JOIN st
     "timing_losses": "WITH e AS (SELECT event_type, value / 10 AS s, CASE WHEN value > 50 THEN 1 ELSE 0 END AS y, greatest(1e-9, least(1 - 1e-9, value / 100)) AS p FROM events) SELECT event_type, round(avg(CASE WHEN s < 0.5 THEN -ln(0.1) ELSE -ln(0.9) + 0.5 * power((ln(CASE WHEN s <= 0 THEN 1e-3 ELSE s END) - 1) / 0.9, 2) + ln(0.9) + 0.5 * ln(2 * pi()) + ln(CASE WHEN s <= 0 THEN 1e-3 ELSE s END) END), 6) AS zero_inflated, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bernoulli FROM e GROUP BY 1",
     "dose_ladder": "WITH p AS (SELECT o_orderpriority, year(o_orderdate) AS dose, avg(o_totalprice / 1000) AS m, stddev_samp(o_totalprice / 1000) AS sd FROM orders GROUP BY 1, 2), s AS (SELECT *, m - lag(m) OVER (PARTITION BY o_orderpriority ORDER BY dose) AS step FROM p) SELECT o_orderpriority, round(arg_max(m, dose) - arg_min(m, dose), 6) AS swing, bool_and(coalesce(step <= 1e-12, true)) AS monotone, round((arg_max(m, dose) - arg_min(m, dose)) / avg(sd), 6) AS swing_over_sd FROM s GROUP BY 1",
     "detection_rates": "WITH l AS (SELECT l_suppkey, avg(l_discount) - 0.05 AS point, avg(l_discount) - 0.05 + 1.96 * stddev_samp(l_discount) / sqrt(count(*)) AS high FROM lineitem GROUP BY 1) SELECT s_nationkey, count(*) AS n, round(avg(CASE WHEN high < 0 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(avg(point), 6) AS mean_point, round(stddev_samp(point), 6) AS sd_point, round(quantile_cont(point, 0.025), 6) AS q0, round(quantile_cont(point, 0.5), 6) AS q1, round(quantile_cont(point, 0.975), 6) AS q2 FROM l JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1",
-    "marginal_residual": f"WITH {ARMS}, y AS (SELECT *, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM r), p AS (SELECT user_id, (sum(y) + 1.0) / (count(*) + 2) AS p FROM y WHERE t < k GROUP BY user_id), bm AS (SELECT y.user_id, avg(-(y * ln(a.p) + (1 - y) * ln(1 - a.p))) AS own, avg(-(y * ln(b.p) + (1 - y) * ln(1 - b.p))) AS other FROM y JOIN c USING (user_id) JOIN p AS a ON a.user_id = y.user_id JOIN p AS b ON b.user_id = c.donor WHERE t >= k GROUP BY y.user_id) SELECT count(*) AS n, round(avg(A4 - A3), 6) AS model, round(avg(own - other), 6) AS marginal, round(avg((A4 - A3) - (own - other)), 6) AS residual FROM w JOIN bm USING (user_id)",
+    "marginal_residual": f"WITH {ARMS}, y AS (SELECT *, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM r), p AS (SELECT user_id, (sum(y) + 1.0) / (count(*) + 2) AS p FROM y WHERE t < k GROUP BY user_id), bm AS (SELECT y.user_id, avg(-(y * ln(a.p) + (1 - y) * ln(1 - a.p))) AS own, avg(-(y * ln(b.p) + (1 - y) * ln(1 - b.p))) AS other FROM y JOIN c USING (user_id) JOIN p AS a ON a.user_id = y.user_id JOIN p AS b ON b.user_id = c.donor WHERE t >= k AND c.donor <> y.user_id GROUP BY y.user_id) SELECT count(*) AS n, round(avg(A4 - A3), 6) AS model, round(avg(own - other), 6) AS marginal, round(avg((A4 - A3) - (own - other)), 6) AS residual FROM w JOIN bm USING (user_id)",
     "legal_marginal": f"WITH {SPLIT}, cn AS (SELECT event_type, count(*) AS c FROM r WHERE t < k GROUP BY 1), lg AS (SELECT user_id, session, list_sort(list_distinct(list_append(list(event_type) FILTER (WHERE event_type <> 'error'), 'view'))) AS legal FROM r WHERE t >= k GROUP BY 1, 2), h AS (SELECT r.user_id, r.t, CASE WHEN list_contains(legal, event_type) THEN event_type ELSE legal[1] END AS seen, unnest(legal) AS a FROM r JOIN lg USING (user_id, session) WHERE t >= k) SELECT user_id, t, round(-ln(max(CASE WHEN a = seen THEN coalesce(c, 0) + 0.5 END) / sum(coalesce(c, 0) + 0.5)), 6) AS nll FROM h LEFT JOIN cn ON cn.event_type = h.a GROUP BY 1, 2",
     "value_distances": f"""WITH {SPLIT}, ev AS (SELECT event_type, value, CASE WHEN t >= k THEN 1 ELSE 0 END AS side FROM r),
 qs AS (SELECT event_type, quantile_cont(value, [{GRID}]) FILTER (WHERE side = 0) AS a, quantile_cont(value, [{GRID}]) FILTER (WHERE side = 1) AS b FROM ev GROUP BY 1),

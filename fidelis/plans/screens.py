@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fidelis.operators import arms, screen
-from fidelis.plans.trial import table
+from fidelis.operators import arms, contracts, screen
+from fidelis.plans.trial import ARMS, LABELS, cells, r6, split_rows, table
 
 SCREEN = {"line": ("own_line", "donor_line"), "card": ("own_card", "donor_card")}
 
@@ -32,7 +32,45 @@ def metric_screen(spark, sf_dir):
     return screen.choose_metric(screened(spark, sf_dir), "conv_id", SCREEN)
 
 
-QUERIES = {f.__name__: f for f in (card_line_maxima, metric_screen)}
+def source_digests(spark, sf_dir):
+    """One digest of the documents of each source, whole and in order."""
+    return contracts.row_digests(table(spark, sf_dir, "documents"), "source", ["doc_id"], ["doc_id", "lang", "text"])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out events under three arms by two simulators, which differ in how much they smooth a user's rates: sim, user_id, t, arm, nll."""
+    rows = split_rows(spark, sf_dir)
+    counts = arms.user_counts(rows, "event_type", LABELS)
+    pairs = arms.matched(cells(rows))
+    m = len(LABELS)
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
+    place = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("event_type")).cast("int")
+    held = rows.filter("t >= k").select("user_id", "t", place.alias("place")).join(pairs.select("user_id", "donor"), "user_id")
+    out = None
+    for sim, a in (("laplace", 1.0), ("half", 0.5)):
+        rates = counts.select("user_id", F.transform("c", lambda x: -F.log((x + a) / (total + a * m))).alias("s"))  # noqa: B023
+        j = held.join(rates, "user_id").join(rates.select(F.col("user_id").alias("donor"), F.col("s").alias("d")), "donor")
+        each = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), v.alias("nll")) for arm, v in (("A0", F.log(F.lit(float(m)))), ("A3", F.element_at("d", F.col("place"))), ("A4", F.element_at("s", F.col("place"))))]))
+        part = j.select(F.lit(sim).alias("sim"), "user_id", "t", each.alias("_a")).select("sim", "user_id", "t", "_a.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trial_table(spark, sf_dir):
+    """Both simulators on rows that must be the same: counts, digest, and gains of one's own information."""
+    t = contracts.trial_table(scored(spark, sf_dir), "sim", "user_id", ["t"], "arm", "nll", "laplace", intervals=False)
+    return t.select("sim", "n_users", "n_rows", "row_digest", r6("d_indiv", "d_indiv"), r6("d_total", "d_total"))
+
+
+def label_coverage(spark, sf_dir):
+    """Labels by source: every label must belong to a document, documents without a label are left out."""
+    d, l = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    labelled = d.join(l.select("doc_id"), "doc_id", "left_semi")
+    j = contracts.covering(contracts.unique(l, ["doc_id"]), labelled, ["doc_id"])
+    return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("quality").alias("quality"))
+
+
+QUERIES = {f.__name__: f for f in (card_line_maxima, metric_screen, source_digests, trial_table, label_coverage)}
 
 
 def _weights(name: str, docs: str) -> str:
@@ -43,7 +81,24 @@ def _weights(name: str, docs: str) -> str:
 {name} AS (SELECT key, term, (1 + ln(c)) * idf / norm AS w FROM {name}_c JOIN {name}_i USING (term) JOIN {name}_n USING (key))"""
 
 
+def _digest(rows: str, by: str, order: str, columns: list[str]) -> str:
+    """The digests of rows, as in the operator: by, n_rows, digest."""
+    named = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    hashed = f"SELECT {by}, sha256(concat(row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1, '|', {named})) AS h FROM {rows}"
+    parts = ", ".join(f"sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT))" for i in range(4))
+    return f"SELECT {by}, count(*) AS n_rows, sha256(concat_ws('|', count(*), {parts})) AS digest FROM ({hashed}) AS x GROUP BY {by}"
+
+
 ORACLE_SQL = {
+    "source_digests": _digest("documents", "source", "doc_id", ["doc_id", "lang", "text"]),
+    "trial_table": f"""WITH {ARMS}, h AS (SELECT r.user_id, r.t, r.event_type, c.donor FROM r JOIN c USING (user_id) WHERE t >= k AND c.donor <> r.user_id),
+n AS (SELECT user_id, event_type, count(*) AS c FROM r WHERE t < k GROUP BY 1, 2), o AS (SELECT user_id, sum(c) AS n FROM n GROUP BY 1),
+sv AS (SELECT h.*, z.sim, -ln((coalesce(a.c, 0) + z.a) / (oa.n + 5 * z.a)) AS own, -ln((coalesce(b.c, 0) + z.a) / (ob.n + 5 * z.a)) AS other
+      FROM h CROSS JOIN (SELECT unnest(['laplace', 'half']) AS sim, unnest([1.0::DOUBLE, 0.5::DOUBLE]) AS a) AS z JOIN o AS oa USING (user_id) JOIN o AS ob ON ob.user_id = h.donor
+      LEFT JOIN n AS a ON a.user_id = h.user_id AND a.event_type = h.event_type LEFT JOIN n AS b ON b.user_id = h.donor AND b.event_type = h.event_type),
+p AS (SELECT sim, user_id, avg(own) - avg(other) AS i, avg(own) - ln(5) AS a FROM sv GROUP BY 1, 2), gv AS ({_digest("sv", "sim", "user_id, t", ["user_id", "t"])})
+SELECT p.sim, count(*) AS n_users, any_value(gv.n_rows) AS n_rows, any_value(gv.digest) AS row_digest, round(avg(i), 6) AS d_indiv, round(avg(a), 6) AS d_total FROM p JOIN gv USING (sim) GROUP BY p.sim""",
+    "label_coverage": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic, sum(quality)::BIGINT AS quality FROM labels JOIN documents USING (doc_id) GROUP BY source",
     "card_line_maxima": rf"""
 WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
 d AS (SELECT conv_id, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor FROM u WHERE i = 1 AND n >= 2 WINDOW w AS (PARTITION BY least(n, 4) ORDER BY md5('0|' || conv_id), conv_id)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.scalars import CHESS_EDGES, bucket, bucket_label, lognormal_bucket_probs, lognormal_nll, logit_nll, softmax
-from fidelis.operators import arms, features, inference, metrics, sessions, simulators
+from fidelis.operators import arms, features, folds, inference, ladder, metrics, sessions, simulators
 from fidelis.operators.settle import settle
 
 GAP = 21_600.0
@@ -155,7 +155,7 @@ st AS (
          CASE WHEN st.y = 1 THEN CASE WHEN st.streak < 0 THEN CASE WHEN st.streak = -1 THEN 0 ELSE 1 END ELSE st.streak + 1 END ELSE CASE WHEN st.streak > 0 THEN -1 ELSE st.streak - 1 END END, x.y, x.res
   FROM st JOIN x ON x.user_id = st.user_id AND x.t = st.t + 1)
 SELECT x.l_orderkey, x.l_linenumber, x.t, round(ln(1 + x.t) / 6, 6) AS f_volume, round(coalesce(avg(x.y) OVER p, 0.5), 6) AS f_mean, round(st.ew, 6) AS f_ewma,
-  round(coalesce(avg(x.y) OVER p10, 0.5), 6) AS f_last10, round(coalesce(lag(x.y) OVER o, 0.5)::DOUBLE, 6) AS f_lag, round(tanh(st.streak / 5.0), 6) AS f_streak,
+  round(coalesce(avg(x.y) OVER p10, 0.5), 6) AS f_last10, round(coalesce(lag(x.y) OVER o, 0)::DOUBLE, 6) AS f_lag, round(tanh(st.streak / 5.0), 6) AS f_streak,
   round(coalesce(avg(x.res) OVER p, 0), 6) AS f_res_mean, round(st.rw, 6) AS f_res_ewma, round(coalesce(lag(x.res) OVER o, 0), 6) AS f_res_lag, CASE WHEN x.t > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_has_history
 FROM x JOIN st ON st.user_id = x.user_id AND st.t = x.t
 WINDOW o AS (PARTITION BY x.user_id ORDER BY x.t), p AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p10 AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""
@@ -173,7 +173,25 @@ def dwell_buckets(spark, sf_dir):
 
 def ema_state(spark, sf_dir):
     e = features.history_features(events(spark, sf_dir).withColumn("won", F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False)), "user_id", ["t"], "won", "session_pos")
-    return features.ema_state(e, "user_id", ["t"], "post_loss").select("event_id", r6("z", "z"))
+    return folds.affine_fold(e, "user_id", "t", {"z": "post_loss"}).select("event_id", r6("z", "z"))
+
+
+def state_notes(spark, sf_dir):
+    """The state after each event in words: pressure of a two-hour clock per session, losses, length of the session, streaks."""
+    e = events(spark, sf_dir).withColumn("won", F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False))
+    e = features.history_features(e, "user_id", ["t"], "won", "session_pos")
+    opened = F.first("start").over(Window.partitionBy("user_id", "session").orderBy("t"))
+    e = e.withColumn("left", 7200 - (F.col("start") - opened)).withColumn("time_pressure", features.time_pressure("left"))
+    dims = ["time_pressure", "post_loss", "fatigue", "momentum"]
+    z = folds.affine_fold(e, "user_id", "t", {f"z_{d}": d for d in dims})
+    return z.select("event_id", *[r6(f"z_{d}", f"z_{d}") for d in dims], folds.state_note({d: f"z_{d}" for d in dims}).alias("note"))
+
+
+def source_states(spark, sf_dir):
+    """Documents of a source in order as one history: the moving average of their length in pages of 2000 characters, two at most, after each."""
+    d = table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", F.least(F.lit(2.0), F.col("n_chars") / 2000).alias("pages"))
+    z = folds.affine_fold(folds.places(d, "source", ["doc_id"]), "source", "t", {"z": "pages"})
+    return z.select("doc_id", "t", r6("z", "z"))
 
 
 def live_window_rate(spark, sf_dir):
@@ -388,6 +406,33 @@ def signflip(spark, sf_dir):
     return inference.signflip_p(arms.contrasts(wide(spark, sf_dir)), ["contrast"], "delta")
 
 
+MEMORY = ["f_volume", "f_mean", "f_ewma", "f_last10", "f_lag", "f_streak", "f_res_mean", "f_res_ewma", "f_res_lag", "f_has_history"]
+NEUTRAL_MEMORY = [0.0, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+#: Weights of a plain model of kept items: a constant, the item's difficulty, the overall rate, the recent rate and the run.
+PLAIN = [1.0, -1.0, 1.5, 0.5, 0.25]
+
+
+def memory_arms(spark, sf_dir) -> DataFrame:
+    """Items of orders as answers, under six arms; cells are tertiles of a customer's median price in training."""
+    rows = features.memory_row(responses(spark, sf_dir).select("user_id", "t", "k", "y", "difficulty", F.col("l_extendedprice").alias("value")), "user_id", ["t"], "y", "difficulty")
+    rows = settle(rows)
+    return ladder.arm_rows(rows, cells(rows), MEMORY, NEUTRAL_MEMORY, ["difficulty", "y"])
+
+
+def memory_drift(spark, sf_dir):
+    """A plain model of given weights under the six arms: mean held-out surprise of each customer, and what stops with a frozen memory."""
+    x = memory_arms(spark, sf_dir).filter("t >= k")
+    z = ladder.score(["difficulty", "f_mean", "f_last10", "f_streak"], F.array(*[F.lit(w) for w in PLAIN]))
+    w = ladder.per_arm(x.withColumn("nll", ladder.surprise(z, "y")), ["user_id"])
+    return w.select("user_id", *[r6(a, a.lower()) for a in (*ladder.ARMS, "drift")])
+
+
+def memory_ladder(spark, sf_dir):
+    """The same under fitted models: means over customers by grade."""
+    w = ladder.memory_ladder(memory_arms(spark, sf_dir), MEMORY, ["difficulty"], "y", ridge=1e-4)
+    return w.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a.lower()) for a in (*ladder.ARMS, "drift")])
+
+
 def irls(spark, sf_dir):
     """Coefficients of a pooled logistic model of returned items on the memory row."""
     rows = features.memory_row(responses(spark, sf_dir).select("user_id", "t", "k", "y", "difficulty"), "user_id", ["t"], "y", "difficulty")
@@ -398,8 +443,8 @@ def irls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     trial_contrasts, sessions_events, player_stats_events, split_session_edge, split_first_seen, cells_tertile, donor_map, donor_restricted, history_features, item_difficulty, memory_row, running_median_row,
-    dwell_buckets, ema_state, live_window_rate, arms_marginal, telescoping_identity, lognormal_marginal, bernoulli_marginal, timing_buckets, gain_by_segment_rollup, holm, kendall, spearman, two_afc, tvd_js_accuracy,
-    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls,
+    dwell_buckets, ema_state, state_notes, source_states, live_window_rate, arms_marginal, telescoping_identity, lognormal_marginal, bernoulli_marginal, timing_buckets, gain_by_segment_rollup, holm, kendall, spearman, two_afc, tvd_js_accuracy,
+    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls, memory_drift, memory_ladder,
 )}
 
 HIST = """h AS (SELECT *, CASE WHEN event_type = 'error' THEN t END AS lost, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN 0 END AS won FROM d),
@@ -433,15 +478,42 @@ ORACLE_SQL = {
     "history_features": f"WITH {BASE}, {HIST} SELECT event_id, round(post_loss, 6) AS post_loss, round(fatigue::DOUBLE, 6) AS fatigue, round(momentum, 6) AS momentum FROM hf",
     "item_difficulty": f"WITH {RESPONSES} SELECT skill, count(*) AS n, round(max(difficulty), 6) AS difficulty FROM q GROUP BY skill",
     "memory_row": MEMORY_SQL,
+    "memory_drift": MEMORY_SQL[: MEMORY_SQL.index("SELECT x.l_orderkey")].rstrip() + """,
+mm AS (SELECT x.user_id, x.t, x.k, x.y, x.difficulty, x.l_extendedprice AS value, coalesce(avg(x.y) OVER p, 0.5) AS m, coalesce(avg(x.y) OVER p10, 0.5) AS r, tanh(st.streak / 5.0) AS s FROM x JOIN st ON st.user_id = x.user_id AND st.t = x.t
+  WINDOW p AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p10 AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+me AS (SELECT user_id, quantile_cont(value, 0.5) AS scalar FROM mm WHERE t < k GROUP BY user_id),
+ce AS (SELECT *, CAST(least(2, (row_number() OVER (ORDER BY scalar, user_id) - 1) * 3 // count(*) OVER ()) AS BIGINT) AS cell FROM me),
+dn AS (SELECT *, coalesce(lead(user_id) OVER w, first_value(user_id) OVER w) AS donor FROM ce WINDOW w AS (PARTITION BY cell ORDER BY md5('0|' || user_id), user_id)),
+ba AS (SELECT mm.*, dn.cell, dn.donor FROM mm JOIN dn USING (user_id)),
+a1 AS (SELECT t, avg(m) AS m, avg(r) AS r, avg(s) AS s FROM ba WHERE t < k GROUP BY t),
+a2 AS (SELECT cell, t, avg(m) AS m, avg(r) AS r, avg(s) AS s FROM ba WHERE t < k GROUP BY cell, t),
+hc AS (SELECT cell, max(k) AS h FROM ba GROUP BY cell), ks AS (SELECT user_id, max(k) AS k FROM ba GROUP BY user_id),
+sv AS (SELECT b.user_id, b.difficulty AS d, b.y, unnest(['a0', 'a1', 'a2', 'a3', 'a4', 'a4frozen']) AS arm, unnest([0.5, coalesce(p1.m, 0.5), coalesce(p2.m, 0.5), coalesce(p3.m, 0.5), b.m, coalesce(p4.m, 0.5)]) AS m,
+         unnest([0.5, coalesce(p1.r, 0.5), coalesce(p2.r, 0.5), coalesce(p3.r, 0.5), b.r, coalesce(p4.r, 0.5)]) AS r, unnest([0, coalesce(p1.s, 0), coalesce(p2.s, 0), coalesce(p3.s, 0), b.s, coalesce(p4.s, 0)]) AS s
+       FROM ba AS b JOIN hc ON hc.cell = b.cell JOIN ks ON ks.user_id = b.donor LEFT JOIN a1 AS p1 ON p1.t = least(b.t, (SELECT max(k) FROM ba) - 1) LEFT JOIN a2 AS p2 ON p2.cell = b.cell AND p2.t = least(b.t, hc.h - 1)
+       LEFT JOIN ba AS p3 ON p3.user_id = b.donor AND p3.t = least(b.t, ks.k - 1) AND p3.t < p3.k LEFT JOIN ba AS p4 ON p4.user_id = b.user_id AND p4.t = least(b.t, b.k - 1) AND p4.t < p4.k
+       WHERE b.t >= b.k AND b.donor <> b.user_id),
+zz AS (SELECT user_id, arm, y, 1 - d + 1.5::DOUBLE * m + 0.5::DOUBLE * r + 0.25::DOUBLE * s AS z FROM sv),
+nl AS (SELECT user_id, arm, avg(ln(1 + exp(-abs(z))) + greatest(z, 0) - y * z) AS v FROM zz GROUP BY 1, 2)
+SELECT user_id, round(any_value(v) FILTER (WHERE arm = 'a0'), 6) AS a0, round(any_value(v) FILTER (WHERE arm = 'a1'), 6) AS a1, round(any_value(v) FILTER (WHERE arm = 'a2'), 6) AS a2, round(any_value(v) FILTER (WHERE arm = 'a3'), 6) AS a3,
+  round(any_value(v) FILTER (WHERE arm = 'a4'), 6) AS a4, round(any_value(v) FILTER (WHERE arm = 'a4frozen'), 6) AS a4frozen, round(any_value(v) FILTER (WHERE arm = 'a4frozen') - any_value(v) FILTER (WHERE arm = 'a4'), 6) AS drift FROM nl GROUP BY user_id""",
     "running_median_row": f"WITH {BASE} SELECT event_id, round(quantile_cont(value, 0.5) OVER p, 6) AS r_median, round(avg(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS r_last5, round(lag(value) OVER (PARTITION BY user_id ORDER BY t), 6) AS r_last, round(avg(CASE WHEN value < 2 THEN 1.0 ELSE 0.0 END) OVER p, 6) AS r_quick FROM d WINDOW p AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "dwell_buckets": f"WITH {BASE}, x AS (SELECT event_id, start - lag(start) OVER (PARTITION BY user_id, session ORDER BY t) AS dwell FROM d) SELECT event_id, round(dwell, 6) AS dwell, CAST(CASE WHEN dwell IS NULL THEN -1 WHEN dwell / 3600 < 1 THEN 0 WHEN dwell / 3600 < 3 THEN 1 WHEN dwell / 3600 < 8 THEN 2 WHEN dwell / 3600 < 20 THEN 3 ELSE 4 END AS INT) AS bucket, CASE WHEN dwell IS NULL THEN 'none' WHEN dwell / 3600 < 1 THEN 'under 1s' WHEN dwell / 3600 < 3 THEN '1 to 3s' WHEN dwell / 3600 < 8 THEN '3 to 8s' WHEN dwell / 3600 < 20 THEN '8 to 20s' ELSE 'over 20s' END AS label FROM x",
     "ema_state": f"WITH RECURSIVE {BASE}, {HIST}, z AS (SELECT event_id, user_id, t, 0.4 * post_loss AS z FROM hf WHERE t = 0 UNION ALL SELECT hf.event_id, hf.user_id, hf.t, 0.6 * z.z + 0.4 * hf.post_loss FROM z JOIN hf ON hf.user_id = z.user_id AND hf.t = z.t + 1) SELECT event_id, round(z, 6) AS z FROM z",
+    "state_notes": f"""WITH RECURSIVE {BASE}, {HIST}, o AS (SELECT event_id, greatest(0, least(1, 1 - (7200 - (start - min(start) OVER (PARTITION BY user_id, session))) / 30)) AS pressure FROM d),
+x AS (SELECT hf.*, o.pressure FROM hf JOIN o USING (event_id)),
+z AS (SELECT event_id, user_id, t, 0.4 * pressure AS a, 0.4 * post_loss AS b, 0.4 * fatigue AS c, 0.4 * momentum AS m FROM x WHERE t = 0
+      UNION ALL SELECT x.event_id, x.user_id, x.t, 0.6 * z.a + 0.4 * x.pressure, 0.6 * z.b + 0.4 * x.post_loss, 0.6 * z.c + 0.4 * x.fatigue, 0.6 * z.m + 0.4 * x.momentum FROM z JOIN x ON x.user_id = z.user_id AND x.t = z.t + 1),
+p AS (SELECT *, list_filter([CASE WHEN round(a, 9) > 0.5 THEN 'under time pressure (rushing, more errors likely)' END, CASE WHEN round(b, 9) > 0.5 THEN 'just lost (may be tilted / over-aggressive)' END, CASE WHEN round(c, 9) > 0.5 THEN 'deep into the session (fatigued, slower decline)' END,
+      CASE WHEN round(m, 9) > 0.4 THEN 'on a winning streak (confident)' WHEN round(m, 9) < -0.4 THEN 'on a losing streak (shaken)' END], lambda s: s IS NOT NULL) AS said FROM z)
+SELECT event_id, round(a, 6) AS z_time_pressure, round(b, 6) AS z_post_loss, round(c, 6) AS z_fatigue, round(m, 6) AS z_momentum, 'Current player state: ' || CASE WHEN len(said) = 0 THEN 'composed, near baseline form' ELSE array_to_string(said, '; ') END || '.' AS note FROM p""",
+    "source_states": "WITH RECURSIVE d AS (SELECT doc_id, source, least(2, n_chars / 2000) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS t FROM documents WHERE source IS NOT NULL), z AS (SELECT doc_id, source, t, 0.4::DOUBLE * x AS z FROM d WHERE t = 0 UNION ALL SELECT d.doc_id, d.source, d.t, 0.6::DOUBLE * z.z + 0.4::DOUBLE * d.x FROM z JOIN d ON d.source = z.source AND d.t = z.t + 1) SELECT doc_id, t, round(z, 6) AS z FROM z",
     "live_window_rate": f"WITH {RESPONSES} SELECT l_orderkey, l_linenumber, round((coalesce(sum(y) OVER w, 0) + 1) / (count(y) OVER w + 2), 6) AS live_p FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)",
     "arms_marginal": f"WITH {ARMS} SELECT user_id, n, round(A0, 6) AS a0, round(A1, 6) AS a1, round(A2, 6) AS a2, round(A3, 6) AS a3, round(A4, 6) AS a4 FROM w",
     "trial_contrasts": f"WITH {CONTRAST_SQL} SELECT contrast, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0.0 END), 6) AS share_favourable FROM x GROUP BY contrast",
     "telescoping_identity": f"WITH {ARMS} SELECT count(*) AS n, max(abs((A1 - A0) + (A2 - A1) + (A3 - A2) + (A4 - A3) - (A4 - A0))) < 1e-12 AS holds FROM w",
-    "lognormal_marginal": f"WITH {CELLS}, x AS (SELECT *, start - lag(start) OVER (PARTITION BY user_id ORDER BY t) AS dwell FROM r), ft AS (SELECT user_id, avg(ln(greatest(dwell, 1e-3))) AS mu, greatest(stddev_pop(ln(greatest(dwell, 1e-3))), 0.05) AS sigma FROM x WHERE t < k AND dwell IS NOT NULL GROUP BY user_id), hl AS (SELECT x.user_id, c.donor, CASE WHEN dwell <= 0 THEN 1e-3 ELSE dwell END AS s FROM x JOIN c USING (user_id) WHERE t >= k AND dwell IS NOT NULL) SELECT hl.user_id, count(*) AS n, round(avg(0.5 * power((ln(s) - f.mu) / f.sigma, 2) + ln(f.sigma) + 0.5 * ln(2 * pi()) + ln(s)), 5) AS own, round(avg(0.5 * power((ln(s) - g.mu) / g.sigma, 2) + ln(g.sigma) + 0.5 * ln(2 * pi()) + ln(s)), 5) AS other FROM hl JOIN ft AS f ON f.user_id = hl.user_id JOIN ft AS g ON g.user_id = hl.donor GROUP BY hl.user_id",
-    "bernoulli_marginal": f"WITH {CELLS}, y AS (SELECT *, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM r), p AS (SELECT user_id, (sum(y) + 1.0) / (count(*) + 2) AS p FROM y WHERE t < k GROUP BY user_id) SELECT y.user_id, count(*) AS n, round(avg(-(y * ln(a.p) + (1 - y) * ln(1 - a.p))), 6) AS own, round(avg(-(y * ln(b.p) + (1 - y) * ln(1 - b.p))), 6) AS other FROM y JOIN c USING (user_id) JOIN p AS a ON a.user_id = y.user_id JOIN p AS b ON b.user_id = c.donor WHERE t >= k GROUP BY y.user_id",
+    "lognormal_marginal": f"WITH {CELLS}, x AS (SELECT *, start - lag(start) OVER (PARTITION BY user_id ORDER BY t) AS dwell FROM r), ft AS (SELECT user_id, avg(ln(greatest(dwell, 1e-3))) AS mu, greatest(stddev_pop(ln(greatest(dwell, 1e-3))), 0.05) AS sigma FROM x WHERE t < k AND dwell IS NOT NULL GROUP BY user_id), hl AS (SELECT x.user_id, c.donor, CASE WHEN dwell <= 0 THEN 1e-3 ELSE dwell END AS s FROM x JOIN c USING (user_id) WHERE t >= k AND dwell IS NOT NULL AND c.donor <> x.user_id) SELECT hl.user_id, count(*) AS n, round(avg(0.5 * power((ln(s) - f.mu) / f.sigma, 2) + ln(f.sigma) + 0.5 * ln(2 * pi()) + ln(s)), 5) AS own, round(avg(0.5 * power((ln(s) - g.mu) / g.sigma, 2) + ln(g.sigma) + 0.5 * ln(2 * pi()) + ln(s)), 5) AS other FROM hl JOIN ft AS f ON f.user_id = hl.user_id JOIN ft AS g ON g.user_id = hl.donor GROUP BY hl.user_id",
+    "bernoulli_marginal": f"WITH {CELLS}, y AS (SELECT *, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM r), p AS (SELECT user_id, (sum(y) + 1.0) / (count(*) + 2) AS p FROM y WHERE t < k GROUP BY user_id) SELECT y.user_id, count(*) AS n, round(avg(-(y * ln(a.p) + (1 - y) * ln(1 - a.p))), 6) AS own, round(avg(-(y * ln(b.p) + (1 - y) * ln(1 - b.p))), 6) AS other FROM y JOIN c USING (user_id) JOIN p AS a ON a.user_id = y.user_id JOIN p AS b ON b.user_id = c.donor WHERE t >= k AND c.donor <> y.user_id GROUP BY y.user_id",
     "gain_by_segment_rollup": "SELECT coalesce(c_mktsegment, 'all') AS segment, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS n_f, round(median(o_totalprice), 6) AS median_price, round(min(o_totalprice), 6) AS min_price, round(max(o_totalprice), 6) AS max_price, CAST(grouping(c_mktsegment) AS INT) AS level FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment)",
     "holm": "WITH a AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events), z AS (SELECT event_type, exp(-0.5 * power((avg(value) - any_value(m)) / any_value(s) * sqrt(count(*)), 2)) AS p FROM events CROSS JOIN a GROUP BY event_type), o AS (SELECT *, CASE WHEN p <= 0.9 / (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) THEN 1 ELSE 0 END AS ok FROM z) SELECT event_type, round(p, 6) AS p, min(ok) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) = 1 AS holm FROM o",
     "kendall": f"WITH {NATION}, p AS (SELECT sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM n a JOIN n b ON a.nation < b.nation) SELECT round(sum(dx * dy) / count(*), 6) AS tau_a, round(CASE WHEN sum(abs(dx)) = 0 OR sum(abs(dy)) = 0 THEN 0 ELSE sum(dx * dy) / sqrt(sum(abs(dx)) * sum(abs(dy))) END, 6) AS tau_b FROM p",

@@ -137,42 +137,6 @@ def last_records(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))).filter("_n = 1").drop("_n")
 
 
-def unique_or_raise(df: DataFrame, keys: list[str]) -> DataFrame:
-    twice = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"repeated key {twice[0].asDict()}")
-    return df
-
-
-def covering_or_raise(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two tables whose keys must be the same on both sides."""
-    for a, b, side in ((left, right, "left"), (right, left, "right")):
-        if alone := a.select(*keys).join(b.select(*keys), keys, "left_anti").limit(1).collect():
-            raise ValueError(f"key on the {side} side alone: {alone[0].asDict()}")
-    return left.join(right, keys)
-
-
 def manifest(spark: SparkSession, path: str, facts: dict) -> None:
     """One sorted JSON record in a folder of its own."""
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(path)
-
-
-def population(spark: SparkSession, users: int, steps: int, lam: float, seed: int = 0, drift: float = 0.0, train: float = 0.7) -> DataFrame:
-    """user_id, t, k, p, y: Bernoulli draws of simulated users, q from Beta(4, 2), p = (1 - lam) * mean + lam * q, plus a drift per step."""
-    import numpy as np
-    import pandas as pd
-
-    mean, k = 4 / 6, round(train * steps)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for u in pdf["id"]:
-                rng = np.random.default_rng([seed, int(u)])
-                p = (1 - lam) * mean + lam * rng.beta(4, 2)
-                t = np.arange(steps)
-                rate = np.clip(p + drift * (t - (k - 1) / 2), 0.02, 0.98)
-                out.append(pd.DataFrame({"user_id": int(u), "t": t, "k": k, "p": rate, "y": (rng.random(steps) < rate).astype(int)}))
-            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("user_id", "t", "k", "p", "y")})
-
-    return spark.range(users).mapInPandas(run, "user_id long, t long, k long, p double, y int")

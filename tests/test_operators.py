@@ -14,6 +14,27 @@ from fidelis.operators import arms, features, inference, metrics, panel, session
 from fidelis.sources import readers
 
 
+def population(spark, users, steps, lam, seed=0, drift=0.0, train=0.7):
+    """user_id, t, k, p, y: Bernoulli draws of simulated users, q from Beta(4, 2), p = (1 - lam) * mean + lam * q, plus a drift per step."""
+    import numpy as np
+    import pandas as pd
+
+    mean, k = 4 / 6, round(train * steps)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for u in pdf["id"]:
+                rng = np.random.default_rng([seed, int(u)])
+                p = (1 - lam) * mean + lam * rng.beta(4, 2)
+                t = np.arange(steps)
+                rate = np.clip(p + drift * (t - (k - 1) / 2), 0.02, 0.98)
+                out.append(pd.DataFrame({"user_id": int(u), "t": t, "k": k, "p": rate, "y": (rng.random(steps) < rate).astype(int)}))
+            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("user_id", "t", "k", "p", "y")})
+
+    return spark.range(users).mapInPandas(run, "user_id long, t long, k long, p double, y int")
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
@@ -119,7 +140,7 @@ def test_distances(spark):
 def test_null_population_and_signal(spark):
     share = {}
     for lam in (0.0, 1.0):
-        rows = readers.population(spark, 200, 60, lam, seed=3)
+        rows = population(spark, 200, 60, lam, seed=3)
         cells = arms.donors(rows.select("user_id").distinct().withColumn("cell", F.lit(0)))
         m = simulators.bernoulli_marginal(rows, cells, "y").select((F.col("own") - F.col("other")).alias("d")).agg(F.avg("d")).first()[0]
         share[lam] = m
