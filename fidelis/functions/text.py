@@ -35,6 +35,29 @@ def day_of(ts: str | Column) -> Column:
     return F.substring(col(ts), 1, 10)
 
 
+def ts_key(ts: str | Column) -> Column:
+    """A sort key of a time stamp: in ISO form one in UTC to the microsecond, anything else as it is (digits sort before letters in both)."""
+    iso = F.try_to_timestamp(F.when(col(ts).rlike(r"^\d{4}-\d\d-\d\d"), col(ts)))
+    return F.coalesce(F.date_format(F.to_utc_timestamp(iso, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), col(ts))
+
+
+def context_prefix(turns: str | Column, end: str | Column) -> Column:
+    """The first `end` turns of a shared context; all if there are fewer, none for 0."""
+    return F.slice(col(turns), F.lit(1), F.greatest(col(end).cast("int"), F.lit(0)))
+
+
+def conversation_so_far(turns: str | Column, n: int = 2, user_chars: int = 600, assistant_chars: int = 1200) -> Column:
+    """The last n turns (struct with role and content) as a prompt shows them: the role in brackets, then the end of the text between fences."""
+    last = F.slice(col(turns), F.greatest(F.size(col(turns)) - n + 1, F.lit(1)), F.lit(n))
+
+    def shown(t: Column) -> Column:
+        text = F.coalesce(t["content"], F.lit(""))
+        role = F.coalesce(t["role"], F.lit("user"))
+        return F.concat(F.lit("["), role, F.lit(']\n"""\n'), F.when(role == "assistant", tail_text(text, assistant_chars)).otherwise(tail_text(text, user_chars)), F.lit('\n"""'))
+
+    return F.array_join(F.transform(last, shown), "\n")
+
+
 def is_code(c: str | Column) -> Column:
     """A fence, or at least two lines that begin or end like code."""
     lines = F.split(col(c), r"\R")

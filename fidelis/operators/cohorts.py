@@ -37,10 +37,10 @@ def reused_arm(scores: DataFrame, keys: list[str], config: str, source: str, arm
     return wide.join(shared, keys)
 
 
-def few_shot(df: DataFrame, user: str, key: str, pool: int = 8, n: int = 4, seed: int = 7) -> DataFrame:
-    """The first n of a pool drawn in seeded order from each user's rows, with shot: the place in that order."""
+def few_shot(df: DataFrame, user: str, key: str, n: int = 4, seed: int = 7) -> DataFrame:
+    """The first n of each user's rows in seeded order, with shot: the place in that order."""
     w = Window.partitionBy(user).orderBy(seeded(key, seed), key)
-    return df.withColumn("shot", F.row_number().over(w)).filter(F.col("shot") <= min(pool, n))
+    return df.withColumn("shot", F.row_number().over(w)).filter(F.col("shot") <= n)
 
 
 def label_order(label: str, labels: list[str]) -> Column:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.operators.settle import ranged, settle
+from fidelis.operators.settle import ranged, settle, written
 
 SHRINK = 100 * math.log(10)
 SMALLEST = 745.0
@@ -32,7 +32,7 @@ CALM, NOTE = "composed, near baseline form", "Current player state: {}."
 def places(df: DataFrame, user: str, order: list[str], name: str = "t") -> DataFrame:
     """Adds name: the 0-based place of a row among its user's, in this total order. Rows are sorted in ranges; a user may lie in several, each
     counts what the ranges before it hold of that user (a row per range and user)."""
-    r = ranged(df, [user, *order])
+    r = ranged(df, [user, *order], written)
     mine = r.groupBy("_p", F.col(user).alias("_u")).agg(F.count(F.lit(1)).alias("_rows"))
     before = mine.select("_p", "_u", (F.sum("_rows").over(Window.partitionBy("_u").orderBy("_p")) - F.col("_rows")).alias("_before")).filter("_before > 0")
     at = F.row_number().over(Window.partitionBy("_p", user).orderBy(*order)) - 1

@@ -121,9 +121,11 @@ def signflip_p(df: DataFrame, by: list[str], value: str, n_flips: int = 10_000,
 def hierarchical_ci(df: DataFrame, by: list[str], unit: str, seed_col: str, value: str, n_resamples: int = 2000, seed: int = 0, per_task: int = PER_TASK) -> DataFrame:
     """by, point, low, high, width_ratio, loso_range: users and seeds resampled together, against users alone; and the range of leave-one-seed-out points.
 
-    A user is one row with a sum and a count per seed; the seeds (a handful) are read by the driver, the weights of a resample's seeds are a table of
+    A user is one row with a sum and a count per seed; the seeds (1000 at most) are read by the driver, the weights of a resample's seeds are a table of
     n_resamples rows."""
-    seeds = sorted(r[0] for r in df.select(seed_col).distinct().collect())
+    seeds = sorted(r[0] for r in df.select(seed_col).distinct().limit(1001).collect())
+    if len(seeds) > 1000:
+        raise ValueError("more than 1000 seeds")
     per = df.groupBy(*by, unit, seed_col).agg(F.avg(value).alias("_x"))
     at = [F.when(F.col(seed_col) == s, F.col("_x")) for s in seeds]
     names = [f"_s{j}" for j in range(len(seeds))] + [f"_c{j}" for j in range(len(seeds))]

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df through a checkpoint in the folder of spark.checkpoint.dir, which cuts lineage and survives lost executors.
-
-    Without that setting a session on one machine gets a folder of its own; on a cluster this is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a session on one machine gets a folder of its own; on a cluster this is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fidelis-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df through a checkpoint in the shared folder, which cuts lineage and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df through Parquet in the shared folder: as settle, but small on disk for rows with texts, and later reads take the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, order: list[Column | str], keep=settle) -> DataFrame:
     """df in ranges of this order with _p, the number of its range. Settled: ranges come from a sample and would differ when run again."""
-    return settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    return keep(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -36,7 +36,7 @@ def reused_no_info(spark, sf_dir):
 
 
 def few_shot(spark, sf_dir):
-    """Four training events of each user, of a pool of eight in seeded order."""
+    """Four training events of each user in seeded order."""
     return cohorts.few_shot(split_rows(spark, sf_dir).filter("t < k").select("user_id", "event_id"), "user_id", "event_id").select("user_id", "event_id", "shot")
 
 

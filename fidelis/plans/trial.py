@@ -406,6 +406,15 @@ def signflip(spark, sf_dir):
     return inference.signflip_p(arms.contrasts(wide(spark, sf_dir)), ["contrast"], "delta")
 
 
+def think_rows(spark, sf_dir):
+    """What is known of a user's pauses before each event: seconds as hundredths of an hour, under pressure in the last hour of a two-hour clock per session."""
+    e = events(spark, sf_dir)
+    opened = F.first("start").over(Window.partitionBy("user_id", "session").orderBy("t"))
+    e = e.withColumn("spent", sessions.dwell("start", ["user_id", "session"], ["t"]) / 36).withColumn("left", (7200 - (F.col("start") - opened)) / 60)
+    r = features.think_row(e.select("event_id", "user_id", "t", "spent", "left"), "user_id", ["t"], "spent", "left")
+    return r.select("event_id", *[r6(c, c) for c in ("m_has_history", "m_elo", "m_median", "m_last5", "m_last", "m_fast", "m_pressure")])
+
+
 MEMORY = ["f_volume", "f_mean", "f_ewma", "f_last10", "f_lag", "f_streak", "f_res_mean", "f_res_ewma", "f_res_lag", "f_has_history"]
 NEUTRAL_MEMORY = [0.0, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
 #: Weights of a plain model of kept items: a constant, the item's difficulty, the overall rate, the recent rate and the run.
@@ -444,7 +453,7 @@ def irls(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     trial_contrasts, sessions_events, player_stats_events, split_session_edge, split_first_seen, cells_tertile, donor_map, donor_restricted, history_features, item_difficulty, memory_row, running_median_row,
     dwell_buckets, ema_state, state_notes, source_states, live_window_rate, arms_marginal, telescoping_identity, lognormal_marginal, bernoulli_marginal, timing_buckets, gain_by_segment_rollup, holm, kendall, spearman, two_afc, tvd_js_accuracy,
-    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls, memory_drift, memory_ladder,
+    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls, memory_drift, memory_ladder, think_rows,
 )}
 
 HIST = """h AS (SELECT *, CASE WHEN event_type = 'error' THEN t END AS lost, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN 0 END AS won FROM d),
@@ -507,6 +516,10 @@ z AS (SELECT event_id, user_id, t, 0.4 * pressure AS a, 0.4 * post_loss AS b, 0.
 p AS (SELECT *, list_filter([CASE WHEN round(a, 9) > 0.5 THEN 'under time pressure (rushing, more errors likely)' END, CASE WHEN round(b, 9) > 0.5 THEN 'just lost (may be tilted / over-aggressive)' END, CASE WHEN round(c, 9) > 0.5 THEN 'deep into the session (fatigued, slower decline)' END,
       CASE WHEN round(m, 9) > 0.4 THEN 'on a winning streak (confident)' WHEN round(m, 9) < -0.4 THEN 'on a losing streak (shaken)' END], lambda s: s IS NOT NULL) AS said FROM z)
 SELECT event_id, round(a, 6) AS z_time_pressure, round(b, 6) AS z_post_loss, round(c, 6) AS z_fatigue, round(m, 6) AS z_momentum, 'Current player state: ' || CASE WHEN len(said) = 0 THEN 'composed, near baseline form' ELSE array_to_string(said, '; ') END || '.' AS note FROM p""",
+    "think_rows": f"""WITH {BASE}, x AS (SELECT event_id, user_id, t, coalesce((start - lag(start) OVER (PARTITION BY user_id, session ORDER BY t)) / 36, 0) AS x, (7200 - (start - min(start) OVER (PARTITION BY user_id, session))) / 60 AS rest FROM d),
+m AS (SELECT *, median(x) OVER p AS med, avg(x) OVER p5 AS l5, lag(x) OVER (PARTITION BY user_id ORDER BY t) AS l1, avg(CASE WHEN x < 2 THEN 1.0 ELSE 0.0 END) OVER p AS fast, avg(CASE WHEN rest < 60 THEN x END) OVER p AS press FROM x
+      WINDOW p AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p5 AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN t > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m_has_history, 1500.0::DOUBLE AS m_elo, round(coalesce(med, 0), 6) AS m_median, round(coalesce(l5, 0), 6) AS m_last5, round(coalesce(l1, 0), 6) AS m_last, round(coalesce(fast, 0), 6) AS m_fast, round(coalesce(press, med, 0), 6) AS m_pressure FROM m""",
     "source_states": "WITH RECURSIVE d AS (SELECT doc_id, source, least(2, n_chars / 2000) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS t FROM documents WHERE source IS NOT NULL), z AS (SELECT doc_id, source, t, 0.4::DOUBLE * x AS z FROM d WHERE t = 0 UNION ALL SELECT d.doc_id, d.source, d.t, 0.6::DOUBLE * z.z + 0.4::DOUBLE * d.x FROM z JOIN d ON d.source = z.source AND d.t = z.t + 1) SELECT doc_id, t, round(z, 6) AS z FROM z",
     "live_window_rate": f"WITH {RESPONSES} SELECT l_orderkey, l_linenumber, round((coalesce(sum(y) OVER w, 0) + 1) / (count(y) OVER w + 2), 6) AS live_p FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)",
     "arms_marginal": f"WITH {ARMS} SELECT user_id, n, round(A0, 6) AS a0, round(A1, 6) AS a1, round(A2, 6) AS a2, round(A3, 6) AS a3, round(A4, 6) AS a4 FROM w",
