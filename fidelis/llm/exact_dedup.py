@@ -22,7 +22,8 @@ from fidelis.llm.common import id_keys, materialize, packed_row, text_of
 
 def winners(rows: DataFrame, salts: int) -> DataFrame:
     """_d, keep_id, group_size per digest. rows: _id, _d, _t."""
-    salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
+    # the task's number: a task emits one row per text, and the tasks of one text spread over the salts
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     salted = rows.groupBy("_d", salt.alias("_salt"), "_t").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_d", "_t").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     clash = F.raise_error(F.lit("two texts share a SHA-256 digest"))

@@ -292,6 +292,30 @@ def test_exact_dedup(docs, none):
     assert keep_first_copies(none).count() == 0
 
 
+def test_a_task_emits_one_row_per_text(spark):
+    from pyspark.sql import functions as F
+
+    from fidelis.llm.exact_dedup import winners
+
+    rows = spark.range(4000).repartition(6).select(F.col("id").alias("_id"), F.concat(F.lit("text "), F.col("id") % 5).alias("_t")).withColumn("_d", F.unhex(F.sha2("_t", 256)))
+    df = winners(rows, 8)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    wrote, at = [], [plan]
+    while at:
+        node = at.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            wrote.append(node.metrics().apply("shuffleRecordsWritten").value())
+        at += [node.children().apply(i) for i in range(node.children().size())]
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            at.append(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            at.append(node.plan())
+    assert sorted(r["group_size"] for r in df.collect()) == [800] * 5
+    # the deal to six tasks, then at most one row for each of five texts and six tasks, then one for each text and salt
+    assert 4000 in wrote and sum(w for w in wrote if w < 4000) <= 30 + 30 + 5
+
+
 def brute_links(rows):
     sets = []
     for r in rows:
