@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.operators.arms import seeded
+from fidelis.operators.features import memory_row
 
 
 def united(parts: list[tuple[str, DataFrame]], name: str = "cohort") -> DataFrame:
@@ -74,6 +75,13 @@ def pooled_stream(df: DataFrame, group: str, user: str, t: str, k: str, value: s
     return df.filter(F.col(t) < F.col(k)).groupBy(group, t).agg(pick.alias("_x")).select(group, t, F.col("_x.u").alias(user), F.col("_x.v").alias(value))
 
 
+def pooled_memory(df: DataFrame, group: str, user: str, t: str, k: str, y: str, difficulty: str, seed: int = 0) -> DataFrame:
+    """group, t and the ten features of a memory that learns from the pooled stream: at every step the training answer of one member, drawn as in pooled_stream."""
+    both = df.withColumn("_both", F.struct(F.col(y).alias("y"), F.col(difficulty).alias("d")))
+    s = pooled_stream(both, group, user, t, k, "_both", seed).select(group, t, F.col("_both.y").alias(y), F.col("_both.d").alias(difficulty))
+    return memory_row(s, group, [t], y, difficulty).drop(y, difficulty)
+
+
 def card(n: Column, mean: Column) -> Column:
     """The text of a numeric state; without history that of the neutral one. Hundredths are rounded half to even."""
     return F.when(n > 0, F.format_string("events %d; mean %.2f", n, F.rint(mean * 100) / 100)).otherwise(F.lit("no history"))

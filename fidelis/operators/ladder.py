@@ -45,6 +45,33 @@ def arm_rows(rows: DataFrame, cells: DataFrame, features: list[str], neutral: li
     return j.select(user, "t", "k", *keep, each.alias("_x")).select(user, "t", "k", *keep, "_x.arm", "_x.f.*")
 
 
+def answer_records(rows: DataFrame, cells: DataFrame, features: list[str], neutral: list[float], user: str = "user_id") -> DataFrame:
+    """user, t, part (train before k, else eval), base, self_card, frozen_card, group_card, placebo_card and label of each answer: the question, one's own memory
+    at that step, as it stands at the first held-out step (the last step where there is none), the mean of the cell and of all at that step.
+
+    rows: as for arm_rows, with difficulty and y. Users alone in their cell have records too: nothing here is a donor's."""
+    from fidelis.functions.cards import answers_card, question_base
+
+    base = settle(rows.select(user, "t", "k", "difficulty", "y", *features).join(cells.select(user, "cell"), user))
+    train = base.filter("t < k")
+    means = F.struct(*[F.avg(F.col(c).cast("double")).alias(c) for c in features])
+    none = F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(features, neutral, strict=True)])
+    mine = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
+    longest, per_cell = base.agg(F.max("k").alias("_h")), base.groupBy("cell").agg(F.max("k").alias("_hc"))
+    pop, group = train.groupBy(F.col("t").alias("_t1")).agg(means.alias("_pop")), train.groupBy(F.col("cell").alias("_c2"), F.col("t").alias("_t2")).agg(means.alias("_group"))
+    ends = base.groupBy(F.col(user).alias("_u")).agg(F.least(F.max("k"), F.max("t")).alias("_at"))
+    frozen = base.select(F.col(user).alias("_u"), F.col("t").alias("_at"), mine.alias("_frozen")).join(ends, ["_u", "_at"], "left_semi")
+    j = base.crossJoin(F.broadcast(longest)).join(per_cell, "cell").join(frozen.drop("_at"), F.col(user) == F.col("_u"), "left")  # one row; a row per cell
+    at = lambda end: F.least(F.col("t"), F.col(end) - 1)
+    j = j.join(pop, at("_h") == F.col("_t1"), "left").join(group, (F.col("cell") == F.col("_c2")) & (at("_hc") == F.col("_t2")), "left")
+    j = j.withColumns({"_self": mine, "_pop": F.coalesce("_pop", none), "_group": F.coalesce("_group", none)})
+    card = lambda c: answers_card({f: F.col(f"{c}.{f}") for f in features})
+    return j.select(
+        user, "t", F.when(F.col("t") < F.col("k"), "train").otherwise("eval").alias("part"), question_base("difficulty", "t").alias("base"), card("_self").alias("self_card"),
+        card("_frozen").alias("frozen_card"), card("_group").alias("group_card"), card("_pop").alias("placebo_card"), F.when(F.col("y") > 0.5, "correct").otherwise("incorrect").alias("label"),
+    )
+
+
 def score(features: list[str], weights: Column) -> Column:
     """weights[0] + sum of weights[i + 1] * feature i."""
     return sum((F.element_at(weights, i + 2) * F.col(c).cast("double") for i, c in enumerate(features)), F.element_at(weights, 1))

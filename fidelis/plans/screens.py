@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fidelis.operators import arms, contracts, screen
+from fidelis.operators import arms, contracts, panel, screen
 from fidelis.plans.trial import ARMS, LABELS, cells, r6, split_rows, table
 
 SCREEN = {"line": ("own_line", "donor_line"), "card": ("own_card", "donor_card")}
@@ -62,6 +62,13 @@ def trial_table(spark, sf_dir):
     return t.select("sim", "n_users", "n_rows", "row_digest", r6("d_indiv", "d_indiv"), r6("d_total", "d_total"))
 
 
+def user_volume(spark, sf_dir):
+    """Users' first events of a kind and day as conversations: how many, on how many days, and whether that is enough."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    e = e.withColumn("hash", F.concat_ws("|", "user_id", "event_type", F.substring("at", 1, 10)))
+    return panel.user_volume(e, "user_id", "hash", "at", 30, 20)
+
+
 def label_coverage(spark, sf_dir):
     """Labels by source: every label must belong to a document, documents without a label are left out."""
     d, l = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
@@ -70,7 +77,7 @@ def label_coverage(spark, sf_dir):
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("quality").alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (card_line_maxima, metric_screen, source_digests, trial_table, label_coverage)}
+QUERIES = {f.__name__: f for f in (card_line_maxima, metric_screen, source_digests, trial_table, label_coverage, user_volume)}
 
 
 def _weights(name: str, docs: str) -> str:
@@ -98,6 +105,7 @@ sv AS (SELECT h.*, z.sim, -ln((coalesce(a.c, 0) + z.a) / (oa.n + 5 * z.a)) AS ow
       LEFT JOIN n AS a ON a.user_id = h.user_id AND a.event_type = h.event_type LEFT JOIN n AS b ON b.user_id = h.donor AND b.event_type = h.event_type),
 p AS (SELECT sim, user_id, avg(own) - avg(other) AS i, avg(own) - ln(5) AS a FROM sv GROUP BY 1, 2), gv AS ({_digest("sv", "sim", "user_id, t", ["user_id", "t"])})
 SELECT p.sim, count(*) AS n_users, any_value(gv.n_rows) AS n_rows, any_value(gv.digest) AS row_digest, round(avg(i), 6) AS d_indiv, round(avg(a), 6) AS d_total FROM p JOIN gv USING (sim) GROUP BY p.sim""",
+    "user_volume": "WITH f AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY 1, 2, 3) SELECT user_id, count(*) AS n, count(DISTINCT day) AS n_days, count(*) >= 30 AND count(DISTINCT day) >= 20 AS ok FROM f GROUP BY user_id",
     "label_coverage": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic, sum(quality)::BIGINT AS quality FROM labels JOIN documents USING (doc_id) GROUP BY source",
     "card_line_maxima": rf"""
 WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),

@@ -146,6 +146,18 @@ def memory_row(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "t", *[r6(c, c) for c in rows.columns if c.startswith("f_")])
 
 
+def _two(x: str, sign: str = "") -> str:
+    """x with two decimals in SQL, rounded half to even after nine."""
+    return f"printf('%{sign}.2f', (round_even(round({x}, 9) * 100, 0) / 100)::DOUBLE)"
+
+
+def _answers(a: str) -> str:
+    return (
+        f"'Student state (' || CASE WHEN {a}.h < 0.5 THEN 'no answers yet' ELSE 'answers so far' END || '): overall accuracy ' || {_two(a + '.m')} || ', recent accuracy ' || {_two(a + '.r')} || ', last answer ' || "
+        f"CASE WHEN {a}.l > 0.5 THEN 'correct' ELSE 'incorrect' END || ', streak ' || {_two(a + '.s', '+')} || ', skill-adjusted trend ' || {_two(a + '.e', '+')} || '.'"
+    )
+
+
 MEMORY_SQL = f"""WITH RECURSIVE {RESPONSES},
 x AS (SELECT *, y - (1 - difficulty) AS res FROM q),
 st AS (
@@ -428,6 +440,13 @@ def memory_arms(spark, sf_dir) -> DataFrame:
     return ladder.arm_rows(rows, cells(rows), MEMORY, NEUTRAL_MEMORY, ["difficulty", "y"])
 
 
+def memory_records(spark, sf_dir):
+    """Items of orders as records for a model: the question, four cards and the label. Texts as one digest, the own card as it is."""
+    rows = settle(features.memory_row(responses(spark, sf_dir).select("user_id", "t", "k", "y", "difficulty", F.col("l_extendedprice").alias("value")), "user_id", ["t"], "y", "difficulty"))
+    r = ladder.answer_records(rows, cells(rows), MEMORY, NEUTRAL_MEMORY)
+    return r.select("user_id", "t", "part", "label", "self_card", F.md5(F.concat_ws("|", "base", "frozen_card", "group_card", "placebo_card")).alias("texts"))
+
+
 def memory_drift(spark, sf_dir):
     """A plain model of given weights under the six arms: mean held-out surprise of each customer, and what stops with a frozen memory."""
     x = memory_arms(spark, sf_dir).filter("t >= k")
@@ -453,7 +472,7 @@ def irls(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     trial_contrasts, sessions_events, player_stats_events, split_session_edge, split_first_seen, cells_tertile, donor_map, donor_restricted, history_features, item_difficulty, memory_row, running_median_row,
     dwell_buckets, ema_state, state_notes, source_states, live_window_rate, arms_marginal, telescoping_identity, lognormal_marginal, bernoulli_marginal, timing_buckets, gain_by_segment_rollup, holm, kendall, spearman, two_afc, tvd_js_accuracy,
-    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls, memory_drift, memory_ladder, think_rows,
+    behaviour_entropy, nearest_imposter, cross_matrix, hardest_donor, mean_trajectory_hold_last, clamped_donor_series, length_edges, odd_even_split, option_softmax, logit_losses, bootstrap_ci, signflip, irls, memory_drift, memory_ladder, think_rows, memory_records,
 )}
 
 HIST = """h AS (SELECT *, CASE WHEN event_type = 'error' THEN t END AS lost, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN 0 END AS won FROM d),
@@ -487,6 +506,19 @@ ORACLE_SQL = {
     "history_features": f"WITH {BASE}, {HIST} SELECT event_id, round(post_loss, 6) AS post_loss, round(fatigue::DOUBLE, 6) AS fatigue, round(momentum, 6) AS momentum FROM hf",
     "item_difficulty": f"WITH {RESPONSES} SELECT skill, count(*) AS n, round(max(difficulty), 6) AS difficulty FROM q GROUP BY skill",
     "memory_row": MEMORY_SQL,
+    "memory_records": MEMORY_SQL[: MEMORY_SQL.index("SELECT x.l_orderkey")].rstrip() + f""",
+mm AS (SELECT x.user_id, x.t, x.k, x.y, x.difficulty, x.l_extendedprice AS value, coalesce(avg(x.y) OVER p, 0.5) AS m, coalesce(avg(x.y) OVER p10, 0.5) AS r, coalesce(lag(x.y) OVER o, 0)::DOUBLE AS l, tanh(st.streak / 5.0) AS s, st.rw AS e, CASE WHEN x.t > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h
+  FROM x JOIN st ON st.user_id = x.user_id AND st.t = x.t
+  WINDOW p AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p10 AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY x.user_id ORDER BY x.t)),
+me AS (SELECT user_id, quantile_cont(value, 0.5) AS scalar FROM mm WHERE t < k GROUP BY user_id),
+ce AS (SELECT *, CAST(least(2, (row_number() OVER (ORDER BY scalar, user_id) - 1) * 3 // count(*) OVER ()) AS BIGINT) AS cell FROM me),
+ba AS (SELECT mm.*, ce.cell FROM mm JOIN ce USING (user_id)),
+a1 AS (SELECT t, avg(m) AS m, avg(r) AS r, avg(l) AS l, avg(s) AS s, avg(e) AS e, avg(h) AS h FROM ba WHERE t < k GROUP BY t),
+a2 AS (SELECT cell, t, avg(m) AS m, avg(r) AS r, avg(l) AS l, avg(s) AS s, avg(e) AS e, avg(h) AS h FROM ba WHERE t < k GROUP BY cell, t),
+hc AS (SELECT cell, max(k) AS h FROM ba GROUP BY cell), en AS (SELECT user_id, least(max(k), max(t)) AS t FROM ba GROUP BY user_id)
+SELECT b.user_id, b.t, CASE WHEN b.t < b.k THEN 'train' ELSE 'eval' END AS part, CASE WHEN b.y > 0.5 THEN 'correct' ELSE 'incorrect' END AS label, {_answers("b")} AS self_card,
+  md5(concat_ws('|', 'Predict whether this student answers the next question correctly.' || chr(10) || 'Question difficulty: ' || {_two("b.difficulty")} || ' (0 = easiest, 1 = hardest). Attempt ' || (b.t + 1) || '.', {_answers("f")}, {_answers("g")}, {_answers("a")})) AS texts
+FROM ba AS b JOIN hc ON hc.cell = b.cell JOIN en ON en.user_id = b.user_id JOIN ba AS f ON f.user_id = b.user_id AND f.t = en.t JOIN a1 AS a ON a.t = least(b.t, (SELECT max(k) FROM ba) - 1) JOIN a2 AS g ON g.cell = b.cell AND g.t = least(b.t, hc.h - 1)""",
     "memory_drift": MEMORY_SQL[: MEMORY_SQL.index("SELECT x.l_orderkey")].rstrip() + """,
 mm AS (SELECT x.user_id, x.t, x.k, x.y, x.difficulty, x.l_extendedprice AS value, coalesce(avg(x.y) OVER p, 0.5) AS m, coalesce(avg(x.y) OVER p10, 0.5) AS r, tanh(st.streak / 5.0) AS s FROM x JOIN st ON st.user_id = x.user_id AND st.t = x.t
   WINDOW p AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p10 AS (PARTITION BY x.user_id ORDER BY x.t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),

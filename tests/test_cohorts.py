@@ -96,3 +96,25 @@ def test_tertiles_over_ranges(spark):
     got = {r["u"]: r["c"] for r in sessions.with_tertile(spark.createDataFrame(rows, "u int, x double").repartition(6), ["x", "u"], "c").collect()}
     want = {u: min(2, at * 3 // 101) for at, (x, u) in enumerate(sorted((x, u) for u, x in rows))}
     assert got == want
+
+
+def test_pooled_memory(spark):
+    """The memory of a pooled stream, step by step in plain Python."""
+    import hashlib
+    import math
+
+    from fidelis.operators import cohorts
+
+    rows = [(c, u, t, 4 + u, float((u * 7 + t * 3) % 2), 0.1 * (u + 1)) for c in (0, 1) for u in range(5) if u % 2 == c for t in range(9)]
+    df = spark.createDataFrame(rows, "cell long, u long, t long, k long, y double, d double")
+    got = {(r["cell"], r["t"]): r for r in cohorts.pooled_memory(df, "cell", "u", "t", "k", "y", "d").collect()}
+    for c in (0, 1):
+        n, total, ewma, last, recent = 0, 0.0, 0.5, 0.0, []
+        horizon = max(k for cell, _, _, k, _, _ in rows if cell == c)
+        for t in range(horizon):
+            r = got.pop((c, t))
+            assert (r["f_volume"], r["f_mean"], r["f_ewma"], r["f_lag"], r["f_last10"]) == pytest.approx((math.log1p(n) / 6, total / n if n else 0.5, ewma if n else 0.5, last, sum(recent) / len(recent) if recent else 0.5))
+            pool = [(hashlib.md5(f"0|{t}|{u}".encode()).hexdigest(), u, y) for cell, u, s, k, y, _ in rows if cell == c and s == t and t < k]
+            y = min(pool)[2]
+            n, total, ewma, last, recent = n + 1, total + y, y if n == 0 else 0.9 * ewma + 0.1 * y, y, [*recent[-9:], y]
+    assert not got
