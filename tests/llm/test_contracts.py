@@ -372,6 +372,48 @@ def test_passages_of_large_buckets(spark):
     assert sum((k, k + 1) in linked for k in twins) >= 58
 
 
+def test_passages_beside_a_frequent_phrase(spark):
+    """90 documents and more hold 45 words that alone are no passage; pairs share eight further words and differ by an edit. Their windows equal those of others on one side."""
+    from fidelis.llm.passages import passages
+
+    rng = random.Random(38)
+    prose = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    phrase = prose(45)
+    rows = [(k, " ".join(prose(40) + phrase + prose(40))) for k in range(60)]
+    for k in range(100, 160, 2):
+        end, edited = prose(8), list(phrase)
+        edited[rng.randint(18, 26)] = f"own{k}"
+        rows += [(k + i, " ".join(prose(40) + x + end + prose(40))) for i, x in enumerate((phrase, edited))]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {(r["doc_id"], r["match_doc_id"]) for r in got}
+    assert sum((k, k + 1) in linked for k in range(100, 160, 2)) >= 29
+    assert all(i // 2 == j // 2 and i >= 100 for i, j in linked)
+
+
+def test_pairs_of_windows_are_ruled_out_as_by_full_comparison():
+    from fidelis.llm import passages as p
+
+    rng, width = np.random.default_rng(1), 47
+    mine, theirs = np.zeros((1500, 93), np.uint32), np.zeros((1500, 93), np.uint32)
+    for k in range(1500):
+        base = rng.integers(1, 1 << 32, 400, dtype=np.uint32)
+        if k % 3 == 1:
+            base = np.tile(base[: rng.integers(2, 60)], 200)[:400]
+        elif k % 3 == 2:
+            base[100:200] = np.tile(base[: rng.integers(2, 30)], 60)[:100]
+        shift = rng.integers(-12, 13) if k % 2 else 0
+        mine[k], theirs[k] = base[50:143], base[50 + shift : 143 + shift]
+        for q in rng.integers(0, 88, rng.integers(0, 5)):
+            theirs[k, q : q + 5] = rng.integers(1, 1 << 32, 5, dtype=np.uint32)
+        mine[k, : rng.integers(0, 40) * (k % 4 > 1)] = 0
+    distinct = lambda x: len(np.unique(x[x != 0])) == (x != 0).sum()
+    simple = np.array([distinct(x) and distinct(y) for x, y in zip(mine, theirs, strict=True)])
+    found = np.array([bool(p.agreeing(x[x != 0], y[y != 0], width, 0.8)) for x, y in zip(mine, theirs, strict=True)])
+    yes, maybe = p._likely(mine, theirs, simple, width, 0.8)
+    assert found.any() and not (found & ~maybe).any() and not (yes & ~maybe).any() and (~maybe).sum() > 100
+    assert not (yes & simple & ~found).any()
+
+
 def test_edited_passages_at_and_above_the_similarity(spark):
     """60 to 120 words, edits spread evenly, similarity 0.80 to 0.90: nine in ten at least are found, documents without one are left alone."""
     from fidelis.llm.passages import passages
