@@ -437,3 +437,16 @@ def test_edited_passages_at_and_above_the_similarity(spark):
     got = {(r["doc_id"], r["match_doc_id"]) for r in passages(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
     assert len(want & got) >= 0.95 * len(want)
     assert all(i // 2 == j // 2 for i, j in got) and not any(i >= 10_000 for i, _ in got)
+
+
+def test_passages_of_a_line_that_begins_again(spark):
+    """More documents than a bucket compares in all pairs share 52 words of which the last 21 repeat the first ones: few distinct shingles, and yet a whole passage."""
+    from fidelis.llm.passages import passages
+
+    rng = random.Random(48)
+    prose = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    line = prose(31)
+    rows = [(k, " ".join(prose(60) + line + line[:21] + prose(60))) for k in range(40)]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(k, 0) for k in range(40)}
+    assert all(r["jaccard"] == 1 for r in got)
