@@ -18,57 +18,65 @@ def before(user: str, order: list[str], n: int | None = None):
     return by_user(user, *order).rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
 
 
-def with_ewma(df: DataFrame, x: str, user: str, order: list[str], name: str, decay: float = 0.9, start: float = 0.5) -> DataFrame:
+def with_ewma(df: DataFrame, x: str, user: str | list[str], order: list[str], name: str, decay: float = 0.9, start: float = 0.5) -> DataFrame:
     """Adds name: the moving average before each row; start where there is no row before."""
-    w = by_user(user, *order)
-    at = F.row_number().over(w)
-    prior = before(user, order)
-    # weights relative to blocks of 1000 rows, so that no power overflows: what older blocks weigh is below 1e-45
-    block = F.floor((at - 1) / 1000)
-    power = F.pow(F.lit(1 / decay), F.pmod(at - 1, F.lit(1000)).cast("double"))
-    out = df.withColumn("_at", at).withColumn("_block", block).withColumn("_w", F.when(F.col("_at") == 1, F.col(x)).otherwise((1 - decay) * F.col(x)) * power)
-    same = Window.partitionBy(user, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.sum("_w").over(Window.partitionBy(user, "_block"))
-    out = out.withColumn("_in", F.coalesce(F.sum("_w").over(same), F.lit(0.0))).withColumn("_whole", last)
-    older = F.coalesce(F.lag("_whole", 1).over(w), F.lit(0.0))
-    # the block before, seen from the first row of this one, carried to the rest of the block
-    held = Window.partitionBy(user, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_old", older).withColumn("_old", F.when(F.col("_block") == 0, 0.0).otherwise(F.first("_old").over(held)))
-    place = F.pmod(F.col("_at") - 1, F.lit(1000)).cast("double")
-    value = F.col("_in") * F.pow(F.lit(decay), place - 1) + F.col("_old") * F.pow(F.lit(decay), place + 999)
-    out = out.withColumn(name, F.when(F.count(F.lit(1)).over(prior) == 0, start).otherwise(value))
-    return out.drop("_at", "_block", "_w", "_in", "_whole", "_old")
+    out = in_blocks(df, user, order)
+    return with_ewmas(out, user, order, {name: (x, start)}, decay).drop("_at", "_block")
 
 
-def memory_row(df: DataFrame, user: str, order: list[str], y: str, difficulty: str) -> DataFrame:
-    """Ten features of a response stream before each row: y in {0, 1}, difficulty in [0, 1]."""
-    w, prior = by_user(user, *order), before(user, order)
-    n = F.count(F.lit(1)).over(prior)
-    rows = df.withColumn("_res", F.col(y) - (1 - F.col(difficulty))).withColumn("_y", F.col(y).cast("double"))
+def in_blocks(df: DataFrame, user: str | list[str], order: list[str]) -> DataFrame:
+    """Adds _at, the 1-based place of a row in its stream, and _block, a thousand places each. Blocks follow the order, so windows ordered by (_block, order)
+    and windows within a block need one sort together."""
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(user).orderBy(*order))).withColumn("_block", F.floor((F.col("_at") - 1) / 1000))
+
+
+def with_ewmas(df: DataFrame, user: str | list[str], order: list[str], xs: dict[str, tuple[str, float]], decay: float = 0.9) -> DataFrame:
+    """Adds a column per entry of xs (name: value, start) to rows of in_blocks: the moving average of the value before each row."""
+    keys = [user] if isinstance(user, str) else user
+    w = Window.partitionBy(keys).orderBy("_block", *order)
+    here = Window.partitionBy([*keys, "_block"]).orderBy(*order)
+    # weights relative to blocks of 1000 rows, so that no power overflows: what older blocks weigh is below 1e-45
+    place = F.pmod(F.col("_at") - 1, F.lit(1000)).cast("double")
+    weight = F.pow(F.lit(1 / decay), place)
+    out = df.withColumns({f"_w_{n}": F.when(F.col("_at") == 1, F.col(x)).otherwise((1 - decay) * F.col(x)) * weight for n, (x, _) in xs.items()})
+    out = out.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_w_{n}").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) for n in xs})
+    # a block's last row knows the whole block; the next block's first row hands it on to the rest of that block
+    out = out.withColumns({f"_old_{n}": F.coalesce(F.lag(F.col(f"_in_{n}") + F.col(f"_w_{n}"), 1).over(w), F.lit(0.0)) for n in xs})
+    out = out.withColumns({f"_old_{n}": F.when(F.col("_block") == 0, 0.0).otherwise(F.first(f"_old_{n}").over(here.rowsBetween(Window.unboundedPreceding, 0))) for n in xs})
+    value = lambda n: F.col(f"_in_{n}") * F.pow(F.lit(decay), place - 1) + F.col(f"_old_{n}") * F.pow(F.lit(decay), place + 999)
+    out = out.withColumns({n: F.when(F.col("_at") == 1, start).otherwise(value(n)) for n, (_, start) in xs.items()})
+    return out.drop(*[f"{c}_{n}" for n in xs for c in ("_w", "_in", "_old")])
+
+
+def memory_row(df: DataFrame, user: str | list[str], order: list[str], y: str, difficulty: str) -> DataFrame:
+    """Ten features of a response stream before each row: y in {0, 1}, difficulty in [0, 1]. user: the columns that name a stream.
+
+    Runs of equal answers follow from the places where they begin, so every window has the same order: rows are sorted twice, once for their places."""
+    keys = [user] if isinstance(user, str) else user
+    w = Window.partitionBy(keys).orderBy("_block", *order)
+    prior, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_blocks(df, user, order).withColumn("_res", F.col(y) - (1 - F.col(difficulty))).withColumn("_y", F.col(y).cast("double"))
+    rows = with_ewmas(rows, user, order, {"f_ewma": ("_y", 0.5), "f_res_ewma": ("_res", 0.0)})
+    rows = rows.withColumn("_before", F.lag(y).over(w))
+    rows = rows.withColumn("_begins", F.when(F.col("_before").isNull() | (F.col("_before") != F.col(y)), F.col("_at")))
+    rows = rows.withColumn("_first", F.last("_begins", ignorenulls=True).over(upto)).withColumn("_len", F.col("_at") - F.col("_first") + 1)
     # runs of equal answers; a right answer after one single wrong one starts at 0
-    change = F.when(F.lag(y).over(w).isNull() | (F.lag(y).over(w) != F.col(y)), 1).otherwise(0)
-    rows = rows.withColumn("_change", change).withColumn("_run", F.sum("_change").over(w))
-    runs = Window.partitionBy(user, "_run")
-    rows = rows.withColumn("_len", F.row_number().over(runs.orderBy(*order))).withColumn("_size", F.count(F.lit(1)).over(runs))
-    rows = rows.withColumn("_prev", F.when((F.col("_len") == 1) & (F.lag(y).over(w) == 0), F.lag("_size").over(w)))
-    rows = rows.withColumn("_prev", F.first("_prev").over(runs.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    after = F.when(F.col(y) == 1, F.col("_len") - F.when(F.col("_prev") == 1, 1).otherwise(0)).otherwise(-F.col("_len"))
-    rows = rows.withColumn("_streak", after)
-    rows = with_ewma(with_ewma(rows, "_y", user, order, "f_ewma"), "_res", user, order, "f_res_ewma", start=0.0)
-    out = rows.select(
+    rows = rows.withColumn("_single", F.when(F.col("_begins").isNotNull(), (F.col("_before") == 0) & (F.lag("_len").over(w) == 1)))
+    rows = rows.withColumn("_single", F.coalesce(F.last("_single", ignorenulls=True).over(upto), F.lit(False)))
+    rows = rows.withColumn("_streak", F.when(F.col(y) == 1, F.col("_len") - F.when(F.col("_single"), 1).otherwise(0)).otherwise(-F.col("_len")))
+    return rows.select(
         *df.columns,
-        (F.log1p(n) / 6).alias("f_volume"),
+        (F.log1p(F.col("_at") - 1) / 6).alias("f_volume"),
         F.coalesce(F.avg("_y").over(prior), F.lit(0.5)).alias("f_mean"),
         "f_ewma",
-        F.coalesce(F.avg("_y").over(before(user, order, 10)), F.lit(0.5)).alias("f_last10"),
+        F.coalesce(F.avg("_y").over(w.rowsBetween(-10, -1)), F.lit(0.5)).alias("f_last10"),
         F.coalesce(F.lag("_y").over(w), F.lit(0.0)).alias("f_lag"),
         F.tanh(F.coalesce(F.lag("_streak").over(w), F.lit(0)) / 5).alias("f_streak"),
         F.coalesce(F.avg("_res").over(prior), F.lit(0.0)).alias("f_res_mean"),
         "f_res_ewma",
         F.coalesce(F.lag("_res").over(w), F.lit(0.0)).alias("f_res_lag"),
-        F.when(n > 0, 1.0).otherwise(0.0).alias("f_has_history"),
+        F.when(F.col("_at") > 1, 1.0).otherwise(0.0).alias("f_has_history"),
     )
-    return out
 
 
 def history_features(df: DataFrame, user: str, order: list[str], won: str, session_pos: str) -> DataFrame:
